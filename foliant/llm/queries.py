@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .runtime import table
+from .runtime import fresh_path, table
 from .simhash import simhash_groups
+from .token_store import token_digests, write_token_store
 
 ORACLE_SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +22,10 @@ def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 @register
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@register
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-store")
+    write_token_store(table(spark, sf_dir, "documents"), path)
+    return token_digests(spark, path)

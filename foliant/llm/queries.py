@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .runtime import fresh_path, table
 from .simhash import simhash_groups
 from .token_store import token_digests, write_token_store
+from .warc import assemble_captures, read_warc, write_warc
 
 ORACLE_SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +30,23 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-store")
     write_token_store(table(spark, sf_dir, "documents"), path)
     return token_digests(spark, path)
+
+
+@register
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    captures = assemble_captures(read_warc(spark, path, with_payload=False))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op10_warc"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), h AS (SELECT payload_digest, min(page_id) AS head FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN head < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN head < page_id THEN head END AS refers_to
+FROM p LEFT JOIN h USING (payload_digest)
+"""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_digests
 from .runtime import fresh_path, table
 from .simhash import simhash_groups
 from .token_store import token_digests, write_token_store
@@ -50,3 +51,8 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN head < page_id THEN head END AS refers_to
 FROM p LEFT JOIN h USING (payload_digest)
 """
+
+
+@register
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"))

@@ -10,6 +10,7 @@ from .bpe import bpe_digests
 from .runtime import fresh_path, table
 from .simhash import simhash_groups
 from .token_store import token_digests, write_token_store
+from .toxicity import toxicity_scores
 from .warc import assemble_captures, read_warc, write_warc
 
 ORACLE_SQL: dict[str, str] = {}
@@ -56,3 +57,8 @@ FROM p LEFT JOIN h USING (payload_digest)
 @register
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+@register
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

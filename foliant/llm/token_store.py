@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .runtime import texts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,47 +38,90 @@ SCHEMA = "part int, doc_id long, local_start long, n_tokens long, tokens array<i
 class ByteLevelEncoder:
     """Encodes whole texts with a byte-level BPE file of the tokenizers library.
 
-    The file's split pattern always cuts before a space that is followed by a character other than white space, so
-    each text is taken apart there and the library is asked once for each distinct unit.  A text that holds the string
-    of a special token is given to the library whole.
+    The file's split pattern always cuts before a space that is followed by a character other than white space, around
+    a single line feed between such characters, and between letters and a mark at the end of a word.  Each text is
+    taken apart there, and the library is asked once for each distinct unit.  A text that holds the string of a special
+    token is given to the library whole.
     """
 
+    MARKS = frozenset(".,;:!?")
+
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.symbols = {b: s for b, s in enumerate(byte_symbols())}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.remembered = remembered
-        self.known: dict[str, bytes] = {}
-
-    def units(self, text: str) -> list[str]:
-        if any(s in text for s in self.special):
-            return [text]
-        first, *rest = text.split(" ")
+        #: Ids of units, and of words after the space that belongs to them.
+        self.units: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+
+    @staticmethod
+    def lines(text: str) -> list[str]:
+        """Lines, where every line feed stands between characters other than white space; else the whole text."""
+        lines = text.split("\n")
+        whole = len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in lines)
+        return [text] if whole else lines
+
+    @staticmethod
+    def words(line: str) -> tuple[str, list[str]]:
+        """The first unit of a line, and the others without their leading space."""
+        first, *rest = line.split(" ")
         if "" not in rest and not any(map(str.isspace, {p[0] for p in rest})):
-            return [first, *map(" ".__add__, rest)]
+            return first, rest
         out = [first]
         for p in rest:
             if p and not p[0].isspace():
-                out.append(" " + p)
+                out.append(p)
             else:
                 out[-1] += " " + p
-        return out
+        return out[0], out[1:]
+
+    def learn(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
+        """Remember the ids of ``lead`` + unit for every new unit."""
+        bare = {u[:-1] for u in new if u[-1:] in self.MARKS and u[:-1].isalpha()}
+        asked = [*(u for u in new if not (u[-1:] in self.MARKS and u[:-1].isalpha())), *bare.difference(known, new)]
+        # Letters alone are one piece of the split pattern, so that the file's model can be asked without it.
+        tokenize, symbols = self.model.tokenize, self.symbols
+        for u in filter(str.isalpha, asked):
+            ids = [t.id for t in tokenize((lead + u).encode().decode("latin-1").translate(symbols))]
+            known[u] = np.array(ids, "<i4").tobytes()
+        asked = [u for u in asked if not u.isalpha()]
+        for i in range(0, len(asked), 4096):
+            some = asked[i : i + 4096]
+            found = self.tokenizer.encode_batch_fast([lead + u for u in some], add_special_tokens=False)
+            known.update((u, np.array(e.ids, "<i4").tobytes()) for u, e in zip(some, found, strict=True))
+        for u in new:
+            if u not in known:
+                known[u] = known[u[:-1]] + self.unit(u[-1])
+
+    def unit(self, text: str) -> bytes:
+        found = self.units.get(text)
+        if found is None:
+            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+            if len(text) <= 64:
+                self.units[text] = found
+        return found
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        parts = [self.units(t) for t in batch]
-        known = self.known
-        if len(known) > self.remembered:
-            known.clear()
-        new = list(set().union(*parts).difference(known))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            known.update((u, np.array(e.ids, "<i4").tobytes()) for u, e in zip(some, found, strict=True))
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        for known in (self.units, self.spaced):
+            if len(known) > self.remembered:
+                known.clear()
+        parts = [None if any(s in t for s in self.special) else [self.words(x) for x in self.lines(t)] for t in batch]
+        rest = {w for p in parts if p for _, words in p for w in words}
+        self.learn(self.spaced, [*rest.difference(self.spaced)], " ")
+        first = {f for p in parts if p for f, _ in p}
+        self.learn(self.units, [*first.difference(self.units)], "")
+        feed, spaced, units = self.unit("\n"), self.spaced.__getitem__, self.units
+        return [
+            self.unit(t) if p is None else feed.join([b"".join([units[f], *map(spaced, words)]) for f, words in p])
+            for t, p in zip(batch, parts, strict=True)
+        ]
 
 
 @lru_cache(2)

@@ -10,7 +10,7 @@ from foliant.llm import token_store as ts
 
 TEXTS = [
     "", "plain words, here.", "  two  spaces \n mixed\t\ttabs \n\n", "it's we'll 12 34 5x<|endoftext|> after", "a <|endoftext|>  b",
-    "naïve café 日本語 😀 été x   y", "trailing ", " leading", "\n b", "a\x1c b \x1d", "don't  'stop", "x" * 3000, "word " * 5000,
+    "naïve café 日本語 😀 été x   y", "trailing ", " leading", "\n b", "a\x1c b \x1d", "don't  'stop", "one.\nTwo, three\n\nfour\n five\n", "a.\nb!\n.c d.; e? é, 5, x-,", ".", "\n", "a\nb", "x" * 3000, "word " * 5000,
 ]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
-from .runtime import fresh_path, table
+from .runtime import fresh_path, materialise, table
 from .simhash import simhash_groups
 from .token_store import token_digests, write_token_store
 from .toxicity import toxicity_scores
@@ -38,7 +38,7 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
-    captures = assemble_captures(read_warc(spark, path, with_payload=False))
+    captures = assemble_captures(materialise(read_warc(spark, path, with_payload=False), "warc-records"))
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

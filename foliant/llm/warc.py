@@ -3,11 +3,12 @@
 A capture is three records: a response (or a revisit of an earlier equal payload), the request, and a metadata record;
 the last two name the first in WARC-Concurrent-To.  Archives are written by Spark's text writer, whose line separator
 is WARC's record separator, so that any file system Spark knows will do and lost tasks are written again; each file
-holds one segment of bounded size.  Reading goes by Content-Length alone, so payloads may hold anything.
+holds one gzip-compressed segment of bounded size.  Reading goes by Content-Length alone, so payloads may hold anything.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .runtime import materialise
+
 SPACE = uuid.UUID("6f0d3f4e-8a51-5c0e-9d3c-1b7f5f1a2c34")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are always stored again.
@@ -93,13 +96,14 @@ def write_warc(pages: DataFrame, path: str, captured: str = CAPTURED, segment_by
     rows = rows.withColumns({"size": F.coalesce("size", F.lit(0).cast("long")), "ordinal": F.monotonically_increasing_id()})
     place = F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "ordinal")
     heads = rows.where(F.col("size") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min(place).alias("head"), F.count("*").alias("n"))
-    heads = heads.where("n > 1").select("digest", "head")
+    # Written first, so that the planner knows its size and shuffles the payloads only if it is large.
+    heads = materialise(heads.where("n > 1").select("digest", "head"), "warc-heads")
     head = lambda name: F.when(F.col("head").isNull(), F.col(name)).otherwise(F.col(f"head.{name}"))
     placed = rows.join(heads, "digest", "left").select(
         "page_id", "ordinal", "url", "html", "digest", "size", head("page_id").alias("first_id"), head("ordinal").alias("first_ordinal")
     )
     segments = placed.mapInArrow(_segments(captured, segment_bytes), "value string")
-    segments.write.options(lineSep=SEPARATOR, maxRecordsPerFile=1).text(path)
+    segments.write.options(lineSep=SEPARATOR, maxRecordsPerFile=1, compression="gzip").text(path)
 
 
 def parse_warc(data: bytes | memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -143,7 +147,7 @@ def _records(with_payload: bool):
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for headers, block in parse_warc(content.as_buffer()):
+                for headers, block in parse_warc(gzip.decompress(content.as_buffer())):
                     rows.append(row(headers, block))
                     if len(rows) == 1000:
                         yield batch_of(rows)

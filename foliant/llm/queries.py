@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
-from .runtime import fresh_path, materialise, table
+from .quality import quality_verdicts
+from .runtime import fresh_path, importable, materialise, table
 from .simhash import simhash_groups
 from .token_store import token_digests, write_token_store
 from .toxicity import toxicity_scores
@@ -18,8 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(importable(spark), sf_dir)
+
+    QUERIES[f.__name__] = query
+    return query
 
 
 @register
@@ -62,3 +68,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
 from .embedding_dedup import embedding_groups
+from .html_wrappers import extract_main_text
 from .quality import quality_verdicts
 from .runtime import fresh_path, importable, materialise, table
 from .simhash import simhash_groups
@@ -96,3 +97,8 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS
 FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1) USING (vec_id)
 LEFT JOIN (SELECT a AS vec_id, min(b) AS m FROM r GROUP BY 1) USING (vec_id)
 """
+
+
+@register
+def op9_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_digests
 from .embedding_dedup import embedding_groups
 from .html_wrappers import extract_main_text
+from .packing import pack_documents
 from .quality import quality_verdicts
 from .runtime import fresh_path, importable, materialise, table
 from .simhash import simhash_groups
@@ -102,3 +103,8 @@ LEFT JOIN (SELECT a AS vec_id, min(b) AS m FROM r GROUP BY 1) USING (vec_id)
 @register
 def op9_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@register
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))

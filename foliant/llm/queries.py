@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_digests
 from .embedding_dedup import embedding_groups
 from .html_wrappers import extract_main_text
+from .licenses import scan_licenses
 from .packing import pack_documents
 from .quality import quality_verdicts
 from .runtime import fresh_path, importable, materialise, table
@@ -108,3 +109,8 @@ def op9_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))

@@ -12,8 +12,9 @@ from .functions import text as tx
 from .operators import filters as f
 from .operators.paging import pages_needed
 from .operators.traces import counts_by_book, last_traces
-from .plans import audits, reads
+from .plans import audits, reads, writes
 from .sources.fixtures import archive, sql_with
+from .streaming import log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -349,3 +350,209 @@ def timeline_payload_summary_page(spark, sf_dir):
 @query(_payload_sql(2))
 def timeline_payload_summary_detail(spark, sf_dir):
     return _payloads(spark).select("i", labels.detail_summary(F.col("payload")).alias("summary"))
+
+
+# Writes over whole tables.  Requests are made from the tables themselves.
+
+
+def _requests(df: DataFrame, **columns) -> DataFrame:
+    """A request for each row of ``df`` (``id``, ``user_id``), named after it."""
+    kinds = {
+        "version": "int", "given": "array<string>", "book_id": "string", "title": "string", "author": "string", "publisher": "string",
+        "publication_year": "int", "isbn": "string", "page_count": "int", "cover_url": "string", "status": "string", "reflection_id": "string",
+        "mood_tags": "array<string>", "text": "string", "completed_at": "timestamp_ntz", "page_number": "int", "start_page": "int", "end_page": "int",
+        "reason": "string", "content": "string",
+    }
+    fields = [columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
+    return df.select(columns.get("request_id", F.col("id")).alias("request_id"), "user_id", now().alias("at"), columns.get("id", F.col("id")).alias("id"), *fields)
+
+
+def _effects(outcome: writes.Outcome, table: str, *columns: str) -> DataFrame:
+    """Changed rows and refusals of a batch as one relation."""
+    changed = outcome.rows[table].select("id", *columns, F.lit(None).cast("string").alias("reject_code"))
+    refused = outcome.rejects.select(F.col("request_id").alias("id"), "reject_code")
+    return changed.unionByName(refused, allowMissingColumns=True)
+
+
+@query("""
+SELECT entity_type, count(*) AS events, count(DISTINCT book_id) AS books FROM (
+  SELECT 'BOOK' AS entity_type, id AS book_id FROM r_books WHERE deleted_at IS NULL AND status = 'ABANDONED'
+  UNION ALL SELECT type, book_id FROM r_traces WHERE deleted_at IS NULL AND book_id IN (SELECT id FROM r_books WHERE deleted_at IS NULL AND status = 'ABANDONED')
+  UNION ALL SELECT 'COMPLETION_REFLECTION', book_id FROM r_reflections WHERE deleted_at IS NULL AND book_id IN (SELECT id FROM r_books WHERE deleted_at IS NULL AND status = 'ABANDONED'))
+GROUP BY 1""", "r_books", "r_traces", "r_reflections")
+def cascade_delete_effects(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    outcome = writes.delete_books(a, _requests(a.books.where("status = 'ABANDONED' AND deleted_at IS NULL")))
+    return outcome.events.groupBy("entity_type").agg(F.count("*").alias("events"), F.countDistinct("book_id").alias("books"))
+
+
+@query("""
+SELECT id, CASE WHEN ok THEN 'READING' END AS status, CASE WHEN ok THEN 2 END AS version,
+       CASE WHEN deleted_at IS NOT NULL THEN 'NOT_FOUND' WHEN NOT ok THEN 'INVALID_STATUS_TRANSITION' END AS reject_code
+FROM (SELECT *, deleted_at IS NULL AND status <> 'ABANDONED' AS ok FROM r_books WHERE deleted_at IS NOT NULL OR status <> 'READING')""", "r_books")
+def change_status_effects(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    return _effects(writes.change_status(a, _requests(a.books, status=F.lit("READING"))), "books", "status", "version")
+
+
+@query(f"""
+SELECT b.id, CAST(coalesce(max(completion_round), 0) + 1 AS INT) AS completion_round, TIMESTAMP '{NOW}' + INTERVAL '7' DAY AS editable_until
+FROM r_books AS b LEFT JOIN r_reflections AS r ON r.book_id = b.id
+WHERE b.deleted_at IS NULL AND b.status IN ('READING', 'PAUSED') AND b.created_at <= TIMESTAMP '{NOW}' + INTERVAL '5' MINUTE GROUP BY 1""", "r_books", "r_reflections")
+def finish_books_effects(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    asked = _requests(a.books, status=F.lit("READ"), reflection_id=F.col("id"), mood_tags=F.array(F.lit("CALM")))
+    return writes.change_status(a, asked).rows["completion_reflections"].select("id", "completion_round", "editable_until")
+
+
+@query("""
+SELECT b.id, CASE WHEN coalesce(m, 0) <= 45 THEN 45 END AS page_count, CASE WHEN coalesce(m, 0) <= 45 THEN 2 END AS version,
+       CASE WHEN coalesce(m, 0) > 45 THEN 'PAGE_COUNT_TOO_SMALL' END AS reject_code
+FROM r_books AS b LEFT JOIN (SELECT book_id, max(end_page) AS m FROM r_traces WHERE deleted_at IS NULL GROUP BY 1) AS t ON t.book_id = b.id
+WHERE b.deleted_at IS NULL""", "r_books", "r_traces")
+def update_books_effects(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    asked = _requests(f.live(a.books), page_count=F.lit(45), given=F.array(F.lit("page_count")))
+    return _effects(writes.update_books(a, asked), "books", "page_count", "version")
+
+
+@query("""
+, q AS (SELECT t.id, t.book_id, t.start_page, b.page_count, b.id IS NOT NULL AS found FROM r_traces AS t
+        LEFT JOIN r_books AS b ON b.id = t.book_id AND b.deleted_at IS NULL AND b.user_id = t.user_id WHERE t.type = 'ANNOTATION'),
+  e AS (SELECT DISTINCT book_id, start_page FROM r_traces WHERE type = 'DOG_EAR' AND deleted_at IS NULL),
+  d AS (SELECT q.*, CASE WHEN NOT found THEN 'NOT_FOUND' WHEN start_page > page_count THEN 'VALIDATION_ERROR' WHEN e.book_id IS NOT NULL THEN 'DOG_EAR_EXISTS' END AS code
+        FROM q LEFT JOIN e USING (book_id, start_page)),
+  k AS (SELECT *, row_number() OVER (PARTITION BY book_id, start_page, code IS NULL ORDER BY id) AS rn FROM d)
+SELECT id, CASE WHEN code IS NULL AND rn = 1 THEN start_page END AS page_number,
+       CASE WHEN code IS NULL AND rn > 1 THEN 'DOG_EAR_EXISTS' ELSE code END AS reject_code FROM k""", "r_traces", "r_books")
+def create_dog_ears_effects(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    asked = _requests(a.annotations, book_id=F.col("book_id"), page_number=F.col("start_page"), reason=F.lit("a reason of its own"))
+    return _effects(writes.create_traces(a, asked, writes.DOG_EARS), "dog_ears", "page_number")
+
+
+@query("""
+SELECT t.id, CASE WHEN ok THEN t.start_page END AS start_page, CASE WHEN ok THEN 40 END AS end_page, CASE WHEN ok THEN 2 END AS version,
+       CASE WHEN NOT ok THEN CASE WHEN found THEN 'VALIDATION_ERROR' ELSE 'NOT_FOUND' END END AS reject_code
+FROM (SELECT t.*, b.id IS NOT NULL AS found, b.id IS NOT NULL AND t.start_page <= 40 AND coalesce(b.page_count, 40) >= 40 AS ok
+      FROM r_traces AS t LEFT JOIN r_books AS b ON b.id = t.book_id AND b.deleted_at IS NULL WHERE t.type = 'ANNOTATION' AND t.deleted_at IS NULL) AS t""", "r_traces", "r_books")
+def update_annotations_effects(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    asked = _requests(f.live(a.annotations), end_page=F.lit(40), given=F.array(F.lit("end_page")))
+    return _effects(writes.update_traces(a, asked, writes.ANNOTATIONS), "annotations", "start_page", "end_page", "version")
+
+
+@query(f"""
+SELECT id, CASE WHEN deleted_at IS NULL THEN TIMESTAMP '{NOW}' END AS deleted_at, CASE WHEN deleted_at IS NOT NULL THEN 'NOT_FOUND' END AS reject_code
+FROM r_traces WHERE type = 'REREAD_MARK'""", "r_traces")
+def delete_marks_effects(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    return _effects(writes.delete_traces(a, _requests(a.reread_marks), writes.REREAD_MARKS), "reread_marks", "deleted_at")
+
+
+@query(f"""
+SELECT t.id, CASE WHEN code IS NULL THEN 2 END AS version, code AS reject_code FROM (
+  SELECT t.id, CASE WHEN t.deleted_at IS NULL THEN 'NOT_FOUND' WHEN TIMESTAMP '{NOW}' - t.deleted_at > INTERVAL '24' HOUR THEN 'RESTORE_WINDOW_EXPIRED'
+                    WHEN b.id IS NULL OR b.deleted_at IS NOT NULL THEN 'BOOK_DELETED' END AS code
+  FROM r_traces AS t LEFT JOIN r_books AS b ON b.id = t.book_id WHERE t.type = 'ANNOTATION') AS t""", "r_traces", "r_books")
+def restore_annotations_effects(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    return _effects(writes.restore_traces(a, _requests(a.annotations), writes.ANNOTATIONS), "annotations", "version")
+
+
+@query(f"""
+SELECT r.id, CASE WHEN code IS NULL THEN 'SAD' END AS mood, code AS reject_code FROM (
+  SELECT r.id, CASE WHEN r.deleted_at IS NOT NULL OR b.id IS NULL OR b.deleted_at IS NOT NULL THEN 'NOT_FOUND'
+                    WHEN editable_until < TIMESTAMP '{NOW}' THEN 'EDIT_WINDOW_EXPIRED' END AS code
+  FROM r_reflections AS r LEFT JOIN r_books AS b ON b.id = r.book_id) AS r""", "r_reflections", "r_books")
+def update_reflections_effects(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    asked = _requests(a.completion_reflections, mood_tags=F.array(F.lit("SAD"), F.lit("SAD")), given=F.array(F.lit("mood_tags")))
+    return _effects(writes.update_reflections(a, asked), "completion_reflections", "mood_tags").withColumn("mood", F.array_join("mood_tags", ",")).drop("mood_tags")
+
+
+@query(f"""
+, d AS (SELECT r.*, b.status, b.id IS NOT NULL AND r.deleted_at IS NULL AND editable_until >= TIMESTAMP '{NOW}' AS ok
+        FROM r_reflections AS r LEFT JOIN r_books AS b ON b.id = r.book_id AND b.deleted_at IS NULL),
+  l AS (SELECT book_id, max(completion_round) AS latest FROM d WHERE deleted_at IS NULL AND NOT ok GROUP BY 1)
+SELECT book_id AS id, 'READING' AS status FROM d LEFT JOIN l USING (book_id) WHERE ok AND status = 'READ'
+GROUP BY book_id HAVING max(completion_round) > max(coalesce(latest, 0))""", "r_reflections", "r_books")
+def delete_reflections_effects(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    return writes.delete_reflections(a, _requests(a.completion_reflections)).rows["books"].select("id", "status")
+
+
+@query(f"""
+, c AS (SELECT r.id, r.book_id, completion_round, b.id AS b, b.deleted_at AS gone, status, r.deleted_at, editable_until,
+               coalesce(max(CASE WHEN r.deleted_at IS NULL THEN completion_round END) OVER (PARTITION BY r.book_id), 0) AS latest
+        FROM r_reflections AS r LEFT JOIN r_books AS b ON b.id = r.book_id),
+  d AS (SELECT id, book_id, CASE WHEN deleted_at IS NULL THEN 'NOT_FOUND' WHEN editable_until < TIMESTAMP '{NOW}' THEN 'EDIT_WINDOW_EXPIRED'
+               WHEN b IS NULL OR gone IS NOT NULL THEN 'BOOK_DELETED' WHEN status <> 'READING' OR latest > completion_round THEN 'RESTORE_CONFLICT' END AS code FROM c),
+  k AS (SELECT *, row_number() OVER (PARTITION BY book_id, code IS NULL ORDER BY id) AS rn FROM d)
+SELECT id, CASE WHEN code IS NULL AND rn = 1 THEN 2 END AS version, CASE WHEN code IS NULL AND rn > 1 THEN 'RESTORE_CONFLICT' ELSE code END AS reject_code FROM k""", "r_reflections", "r_books")
+def restore_reflections_effects(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    # Live reflections are asked about too, and count as the book's live rounds all the same.
+    asked = _requests(a.completion_reflections)
+    return _effects(writes.restore_reflections(a, asked), "completion_reflections", "version")
+
+
+@query("""
+SELECT entity_type, coalesce(CASE entity_type WHEN 'BOOK' THEN '书目' WHEN 'DOG_EAR' THEN '折角' WHEN 'ANNOTATION' THEN '批注' WHEN 'REREAD_MARK' THEN '重读页' ELSE '完成感受' END) AS entity_label,
+       CASE action WHEN 'CREATED' THEN '创建' WHEN 'UPDATED' THEN '修改' WHEN 'DELETED' THEN '删除' WHEN 'RESTORED' THEN '恢复' ELSE '状态变化' END AS action_label,
+       strftime(occurred_at + INTERVAL '8' HOUR, '%Y/%m/%d') AS local_day, count(*) AS n FROM r_events GROUP BY 1, 2, 3, 4""", "r_events")
+def activity_by_local_day(spark, sf_dir):
+    events = archive(spark, sf_dir).activity_events
+    shown = [labels.label(labels.ENTITIES, F.col("entity_type")).alias("entity_label"), labels.label(labels.ACTIONS, F.col("action")).alias("action_label")]
+    day = labels.local_date(F.col("occurred_at").cast("timestamp"), "Asia/Shanghai").alias("local_day")
+    return events.select("entity_type", *shown, day).groupBy("entity_type", "entity_label", "action_label", "local_day").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+SELECT s.id, CASE WHEN expires_at - TIMESTAMP '{NOW}' < INTERVAL '29' DAY THEN TIMESTAMP '{NOW}' + INTERVAL '30' DAY ELSE expires_at END AS expires_at
+FROM r_sessions AS s WHERE revoked_at IS NULL AND expires_at > TIMESTAMP '{NOW}'""", "r_sessions")
+def rolled_sessions(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    sessions = a.sessions.withColumn("token_hash", F.col("id"))
+    a = type(a)(**{**vars(a), "sessions": sessions})
+    return writes.rolled_sessions(a, sessions.select("token_hash", now().alias("at"))).select("id", "expires_at")
+
+
+@query(f"""
+SELECT id, CASE WHEN deleted THEN NULL ELSE 'DELETED' END AS status, CASE WHEN deleted THEN 'UNAUTHENTICATED' END AS reject_code
+FROM (SELECT id, status = 'DELETED' AS deleted FROM r_users)""", "r_users")
+def delete_account_effects(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    return _effects(writes.delete_accounts(a, _requests(a.users.withColumn("user_id", F.col("id")))), "users", "status")
+
+
+@query("""
+SELECT window_start, user_id, count(*) AS n FROM (SELECT time_bucket(INTERVAL '15' MINUTE, occurred_at, TIMESTAMP '1970-01-01') AS window_start, entity_id AS user_id FROM r_events)
+GROUP BY 1, 2 HAVING count(*) > 1""", "r_events")
+def rate_limit_windows(spark, sf_dir):
+    requests = archive(spark, sf_dir).activity_events.select(F.col("entity_id").alias("user_id"), F.col("occurred_at").alias("at"))
+    return log.over_limit(requests, ["user_id"], (1, "15 minutes")).select(F.col("window.start").alias("window_start"), "user_id", "n")
+
+
+def _literal(column: str, kind: str, check, cases: list[tuple]) -> None:
+    """Register a query over literal inputs, with the expected results as its SQL."""
+
+    def make(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = spark.createDataFrame([(i, *given) for i, (given, _) in enumerate(cases)], f"i int, {kind}")
+        return rows.select("i", check(*(F.col(c) for c in rows.columns[1:])).cast("string").alias("result"))
+
+    make.__name__ = column
+    shown = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
+    query("SELECT * FROM (VALUES " + ", ".join(f"({i}, CAST({shown(want)} AS VARCHAR))" for i, (_, want) in enumerate(cases)) + ") AS t(i, result)")(make)
+
+
+_literal("page_range_check", "a int, b int, n int", rules.page_range_valid, [((42, 44, 300), "true"), ((44, 42, 300), "false"), ((42, 301, 300), "false"), ((42, 301, None), "true"), ((0, 1, None), "false")])
+_literal("uuid_check", "t string", tx.uuid_valid, [(("7f9c24e8-3b12-4fef-91e0-5d2c7a1b6f00",), "true"), (("7f9c24e8",), "false"), ((None,), "false")])
+_literal("url_check", "t string", tx.url_valid, [(("https://a.org/x",), "true"), (("ftp://c",), "false"), (("HTTP://B",), "true"), ((None,), "false")])
+_literal("title_bounds_check", "t string", lambda t: rules.within("title", t), [(("",), "false"), (("x",), "true"), (("x" * 301,), "false"), (("😀" * 151,), "false"), ((None,), "true")])
+_literal("event_summary_check", "t string", tx.event_summary, [((" a ",), "a"), ((None,), ""), (("b" * 130,), "b" * 120), (("c" * 119 + "😀",), "c" * 119)])
+_literal("normalise_email_check", "t string", tx.normalise_email, [((" A@B.Org ",), "a@b.org"), (("é@x.org",), "é@x.org")])
+_literal("token_hash_check", "t string", tx.token_hash, [(("a",), "ca978112ca1bbdcafac231b39a23dc4da786eff8147c4e72b9807785afee48bb"), ((None,), None)])
+_literal("optional_date_check", "t string", rules.optional_date_reject, [(("2026-01-02",), None), (("",), None), ((None,), None), (("soon",), "VALIDATION_ERROR")])
+_literal("mood_toggle_check", "tags array<string>, x string", lambda tags, x: F.array_join(rules.toggle_tag(tags, x), ","), [((["SAD"], "CALM"), "SAD,CALM"), ((["SAD", "CALM"], "SAD"), "CALM"), ((["SAD", "CALM", "MOVED"], "EMPTY"), "SAD,CALM,MOVED")])
+_literal("empty_to_null_check", "t string", tx.empty_to_null, [(("",), None), (("x",), "x"), ((None,), None)])

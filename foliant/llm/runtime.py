@@ -46,8 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/foliant/{tag}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, tag: str, **options) -> DataFrame:
@@ -62,11 +66,10 @@ def materialise(df: DataFrame, tag: str, **options) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder written by :func:`fresh_path` once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote, once no result that reads them is still to be made."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:

@@ -11,7 +11,6 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .runtime import texts
+from .runtime import kept, texts
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words and fragments remembered by a worker between batches (about 200 bytes each); emptied when full.
@@ -157,10 +156,9 @@ class ForcedBoundaryBPE:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(2)
 def coder(path: str) -> ForcedBoundaryBPE:
-    """One coder a worker process, kept between tasks."""
-    return ForcedBoundaryBPE(path)
+    """The worker's coder."""
+    return kept(("coder", path), lambda: ForcedBoundaryBPE(path))
 
 
 def _digests(path: str):

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+T = TypeVar("T")
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -72,6 +75,20 @@ def clean_up(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], T]) -> T:
+    """An object that a Python worker keeps between tasks, such as a coder with the words it has met.
+
+    A worker keeps one at a time: that of the operator at work replaces the last one's, which bounds its memory.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Python strings of an Arrow column, nulls as empty texts."""
     return [x or "" for x in column.to_pylist()]

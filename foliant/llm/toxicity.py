@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import string
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise, texts
+from .runtime import kept, materialise, texts
 
 #: Bounds of the sample that the classifier is fitted to.
 MAX_POSITIVE, MAX_UNLABELLED = 10_000, 20_000
@@ -31,7 +32,7 @@ MAX_FEATURES, MIN_TEXTS, MIN_RATIO = 4_000, 4, 2.0
 BEGINNINGS = (5, 6, 7, 8)
 THRESHOLD = 0.7
 STEPS, RATE, DECAY = 400, 0.1, 1e-4
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 PUNCTUATION = string.punctuation + "¡¿«»“”‘’…"
 
 
@@ -201,8 +202,10 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_po
 def score_column(model: Model, text: Column) -> Column:
     """Score between 0 and 1 of each whole text; a null text scores as an empty one."""
 
+    key = ("toxicity", uuid.uuid4().hex)
+
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        score = model.scorer()
+        score = kept(key, model.scorer)
         for batch in batches:
             yield pa.array([score(t) for t in texts(batch)], pa.float64())
 

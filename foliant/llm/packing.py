@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import materialise, texts
-from .token_store import VOCABULARY, encoder
+from .token_store import VOCABULARY, encoder, portions
 
 CAPACITY = 4096
 #: Documents expected in a shard, and the most that are packed together should equal rows fill one.
@@ -125,10 +125,9 @@ def _pack(capacity: int):
 def _token_counts(path: str):
     def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            text, n = texts(batch), []
-            for i in range(0, len(text), 500):
-                n += [len(c) // 4 + 1 for c in encoder(path).encode(text[i : i + 500])]
-            yield pa.array(n, pa.int64())
+            whole = pa.RecordBatch.from_arrays([batch, batch], names=["row", "text"])
+            n = [encoder(path).encode_arrays(texts(some.column(1)))[1] + 1 for some in portions(whole)]
+            yield pa.array(np.concatenate(n) if n else [], pa.int64())
 
     counts.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(counts, "long")

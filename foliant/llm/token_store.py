@@ -12,24 +12,31 @@ partition) turn it into a place in the whole stream.
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .runtime import texts
+from .runtime import kept, texts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
-#: Units remembered by a worker between batches (about 200 bytes each); the memory is emptied when full.
-REMEMBERED = 400_000
-#: Ids in an Arrow batch handed to the writer.
-BATCH_IDS = 1_000_000
+#: Units remembered by a worker between batches (about 170 bytes each); the memory is emptied when full.
+REMEMBERED = 600_000
+#: White space in runs, and white space other than the space and the line feed.
+RUNS = ("  ", "\n\n", " \n", "\n ")
+ASCII_WHITE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+OTHER_WHITE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Bytes of text encoded at a time.
+PORTION = 6 << 20
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
 
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, tokens array<int>"
@@ -39,9 +46,9 @@ class ByteLevelEncoder:
     """Encodes whole texts with a byte-level BPE file of the tokenizers library.
 
     The file's split pattern always cuts before a space that is followed by a character other than white space, around
-    a single line feed between such characters, and between letters and a mark at the end of a word.  Each text is
-    taken apart there, and the library is asked once for each distinct unit.  A text that holds the string of a special
-    token is given to the library whole.
+    a single line feed between such characters, and between letters and a mark at the end of a word.  Texts are taken
+    apart there, Arrow finds the distinct units of a batch, and the library is asked once for each that is new.  A text
+    that holds the string of a special token is given to the library whole.
     """
 
     MARKS = frozenset(".,;:!?")
@@ -56,110 +63,102 @@ class ByteLevelEncoder:
         self.symbols = {b: s for b, s in enumerate(byte_symbols())}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.remembered = remembered
-        #: Ids of units, and of words after the space that belongs to them.
-        self.units: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        #: Ids of units, with the space that belongs to them.
+        self.known: dict[str, bytes] = {}
 
     @staticmethod
-    def lines(text: str) -> list[str]:
-        """Lines, where every line feed stands between characters other than white space; else the whole text."""
-        lines = text.split("\n")
-        whole = len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in lines)
-        return [text] if whole else lines
-
-    @staticmethod
-    def words(line: str) -> tuple[str, list[str]]:
-        """The first unit of a line, and the others without their leading space."""
-        first, *rest = line.split(" ")
-        if "" not in rest and not any(map(str.isspace, {p[0] for p in rest})):
-            return first, rest
-        out = [first]
-        for p in rest:
-            if p and not p[0].isspace():
-                out.append(p)
+    def cut(text: str) -> str:
+        """The text with a zero character at every cut."""
+        plain = not any(map(text.__contains__, RUNS)) and not (text[:1].isspace() or text[-1:].isspace())
+        if plain and not (any(map(text.__contains__, ASCII_WHITE)) if text.isascii() else OTHER_WHITE.search(text)):
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+        first, *rest = text.split(" ")
+        return first + "".join(" " + p if not p or p[0].isspace() else "\0 " + p for p in rest)
+
+    def learn(self, new: list[str]) -> None:
+        known, tokenize, symbols = self.known, self.model.tokenize, self.symbols
+        marked = [u for u in new if u[-1:] in self.MARKS and u[:-1].removeprefix(" ").isalpha()]
+        bare = {u[:-1] for u in marked}
+        asked = [*set(new).difference(marked), *bare.difference(known, new)]
+        other = []
+        for u in asked:
+            # Letters alone are one piece of the split pattern, so that the file's model can be asked without it.
+            if u.removeprefix(" ").isalpha():
+                known[u] = array("i", [t.id for t in tokenize(u.encode().decode("latin-1").translate(symbols))]).tobytes()
             else:
-                out[-1] += " " + p
-        return out[0], out[1:]
-
-    def learn(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
-        """Remember the ids of ``lead`` + unit for every new unit."""
-        bare = {u[:-1] for u in new if u[-1:] in self.MARKS and u[:-1].isalpha()}
-        asked = [*(u for u in new if not (u[-1:] in self.MARKS and u[:-1].isalpha())), *bare.difference(known, new)]
-        # Letters alone are one piece of the split pattern, so that the file's model can be asked without it.
-        tokenize, symbols = self.model.tokenize, self.symbols
-        for u in filter(str.isalpha, asked):
-            ids = [t.id for t in tokenize((lead + u).encode().decode("latin-1").translate(symbols))]
-            known[u] = np.array(ids, "<i4").tobytes()
-        asked = [u for u in asked if not u.isalpha()]
-        for i in range(0, len(asked), 4096):
-            some = asked[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast([lead + u for u in some], add_special_tokens=False)
-            known.update((u, np.array(e.ids, "<i4").tobytes()) for u, e in zip(some, found, strict=True))
-        for u in new:
-            if u not in known:
-                known[u] = known[u[:-1]] + self.unit(u[-1])
-
-    def unit(self, text: str) -> bytes:
-        found = self.units.get(text)
-        if found is None:
-            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
-            if len(text) <= 64:
-                self.units[text] = found
-        return found
+                other.append(u)
+        for i in range(0, len(other), 4096):
+            some = other[i : i + 4096]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            known.update((u, array("i", e.ids).tobytes()) for u, e in zip(some, found, strict=True))
+        for mark in {u[-1] for u in marked}.difference(known):
+            known[mark] = self.whole(mark)
+        known.update((u, known[u[:-1]] + known[u[-1]]) for u in marked)
+
+    def whole(self, text: str) -> bytes:
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode_arrays(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and the number of each."""
+        known = self.known
+        if len(known) > self.remembered:
+            known.clear()
+        odd = {i: self.whole(t) for i, t in enumerate(batch) if "\0" in t or any(s in t for s in self.special)}
+        units = pc.split_pattern(pa.array([self.cut("" if i in odd else t) for i, t in enumerate(batch)], pa.string()), "\0")
+        coded = units.values.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self.learn([u for u in distinct if u not in known])
+        ids = [known[u] for u in distinct]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        index = coded.indices.to_numpy()
+        values = lists.take(coded.indices).flatten().to_numpy()
+        ends = np.r_[0, np.cumsum(sizes[index])][units.offsets.to_numpy()]
+        counts = np.diff(ends)
+        if odd:
+            parts = [np.frombuffer(odd[i], np.int32) if i in odd else values[ends[i] : ends[i + 1]] for i in range(len(batch))]
+            values, counts = np.concatenate(parts), np.array(list(map(len, parts)))
+        return values, counts
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        for known in (self.units, self.spaced):
-            if len(known) > self.remembered:
-                known.clear()
-        parts = [None if any(s in t for s in self.special) else [self.words(x) for x in self.lines(t)] for t in batch]
-        rest = {w for p in parts if p for _, words in p for w in words}
-        self.learn(self.spaced, [*rest.difference(self.spaced)], " ")
-        first = {f for p in parts if p for f, _ in p}
-        self.learn(self.units, [*first.difference(self.units)], "")
-        feed, spaced, units = self.unit("\n"), self.spaced.__getitem__, self.units
-        return [
-            self.unit(t) if p is None else feed.join([b"".join([units[f], *map(spaced, words)]) for f, words in p])
-            for t, p in zip(batch, parts, strict=True)
-        ]
-
-
-@lru_cache(2)
-def encoder(path: str) -> ByteLevelEncoder:
-    """One encoder a worker process, kept between tasks."""
-    import os
+        values, counts = self.encode_arrays(batch)
+        return [x.tobytes() for x in np.split(values, np.cumsum(counts)[:-1])] if batch else []
+
 
+def encoder(path: str) -> ByteLevelEncoder:
+    """The worker's encoder."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return ByteLevelEncoder(path)
+    return kept(("encoder", path), lambda: ByteLevelEncoder(path))
 
 
 def _encode(path: str, end_id: int):
-    end = np.array([end_id], "<i4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = 0
         for batch in batches:
-            ids, text = batch.column(0).to_pylist(), texts(batch.column(1))
-            i = 0
-            while i < len(ids):
-                some, size = [], 0
-                while i + len(some) < len(ids) and (not some or size < BATCH_IDS):
-                    some.append(text[i + len(some)])
-                    size += len(some[-1]) // 2
-                coded = [c + end for c in encoder(path).encode(some)]
-                n = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-                starts = place + np.r_[0, np.cumsum(n)]
-                place = int(starts[-1])
-                tokens = pa.ListArray.from_arrays(
-                    pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<i4"))
-                )
-                columns = [pa.array(ids[i : i + len(some)], pa.int64()), pa.array(starts[:-1]), pa.array(n), tokens]
+            for some in portions(batch):
+                values, n = encoder(path).encode_arrays(texts(some.column(1)))
+                tokens = np.insert(values, np.cumsum(n), end_id).astype(np.int32)
+                n = n + 1
+                ends = np.r_[0, np.cumsum(n)]
+                listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens))
+                columns = [some.column(0), pa.array(place + ends[:-1]), pa.array(n), listed]
+                place += int(ends[-1])
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "local_start", "n_tokens", "tokens"])
-                i += len(some)
 
     return encode
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``PORTION`` bytes of text (its second column), a single row at least."""
+    size = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()])
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(size, size[start] + PORTION, "right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def write_token_store(
     docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, encoding: str = "dictionary"
 ) -> None:

@@ -26,9 +26,9 @@ from .runtime import materialise
 
 THRESHOLD, RECALL, SEED = 0.93, 0.999, 20_240_901
 #: Width of a grid cell in distances at the threshold.
-CELL = 4.0
+CELL = 6.0
 #: Other vectors expected in a bucket by chance, over all tables; and the range of projections in a table.
-CHANCE, PROJECTIONS = 500, (6, 14)
+CHANCE, PROJECTIONS = 4000, (3, 20)
 BLOCK = 2048
 
 

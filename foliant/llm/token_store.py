@@ -30,13 +30,13 @@ from .runtime import kept, texts
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 #: Units remembered by a worker between batches (about 170 bytes each); the memory is emptied when full.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: White space in runs, and white space other than the space and the line feed.
 RUNS = ("  ", "\n\n", " \n", "\n ")
 ASCII_WHITE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 OTHER_WHITE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Bytes of text encoded at a time.
-PORTION = 6 << 20
+PORTION = 3 << 20
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
 
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, tokens array<int>"

@@ -6,7 +6,7 @@ person, or every book, at once.  Bad parameters raise before a plan is built.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
@@ -85,9 +85,18 @@ def traces(
 
 def traces_by_page(archive: Archive, **wanted) -> DataFrame:
     """Traces in page order with the texts shown for them; the archive's own columns stay inside."""
-    rows = traces(archive, **{"order": by_page(), **wanted})
+    return _shown(traces(archive, **{"order": by_page(), **wanted}))
+
+
+def traces_in_page_order(archive: Archive, **wanted) -> DataFrame:
+    """All that :func:`traces_by_page` pages through, with the ``place`` of each trace in its book."""
+    rows = traces(archive, **wanted, paged=False)
+    return _shown(rows.withColumn("place", F.row_number().over(Window.partitionBy("book_id").orderBy(*by_page()))), "place")
+
+
+def _shown(rows: DataFrame, *more: str) -> DataFrame:
     shown = [labels.trace_range(F.col("start_page"), F.col("end_page")).alias("range_text"), labels.trace_body(F.col("type"), F.col("body")).alias("body_text"), labels.label(labels.TRACES, F.col("type")).alias("type_label")]
-    return rows.select("id", "book_id", "version", "type", "start_page", "end_page", "created_at", "updated_at", *shown)
+    return rows.select("id", "book_id", "version", "type", "start_page", "end_page", "created_at", "updated_at", *shown, *more)
 
 
 def timeline_where(archive: Archive, tenant=None, book=None, entity: str | None = None, action: str | None = None, start=None, end=None) -> DataFrame:
@@ -97,13 +106,14 @@ def timeline_where(archive: Archive, tenant=None, book=None, entity: str | None
     return f.between(rows, "occurred_at", start, end)
 
 
-def timeline(archive: Archive, page=None, size=None, per: str | None = "user_id", **wanted) -> DataFrame:
-    """A page of events, newest first, with the title of the book even if that is deleted.
+def timeline(archive: Archive, page=None, size=None, per: str | None = "user_id", paged: bool = True, **wanted) -> DataFrame:
+    """A page of events, newest first, with the title of the book even if that is deleted; all with ``paged=False``.
 
     The page is cut before the join, so that only its rows look for a title.
     """
     rows = timeline_where(archive, **wanted)
-    rows = page_of(rows, [F.desc("occurred_at"), F.desc("id")], page, size, None if wanted.get("tenant") is not None else per)
+    if paged:
+        rows = page_of(rows, [F.desc("occurred_at"), F.desc("id")], page, size, None if wanted.get("tenant") is not None else per)
     titles = archive.books.select(F.col("id").alias("book_id"), "title")
     title = F.coalesce("title", F.lit(labels.DELETED_BOOK)).alias("book_title")
     return rows.join(titles, "book_id", "left").select("id", "user_id", "book_id", title, "entity_type", "entity_id", "action", F.col("payload_json").alias("payload"), "occurred_at")

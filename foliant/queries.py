@@ -65,6 +65,12 @@ def timeline_by_entity_action(spark, sf_dir):
     return reads.timeline(archive(spark, sf_dir), entity="ANNOTATION", action="UPDATED", page=2, size=1)
 
 
+@query(TIMELINE.format(per="user_id", skip=0, last=9223372036854775807, where="entity_type = 'ANNOTATION' AND action = 'UPDATED'"), "r_events", "r_books")
+def timeline_by_entity_action_all(spark, sf_dir):
+    """Every such event of every person; timeline_by_entity_action is a page of them."""
+    return reads.timeline(archive(spark, sf_dir), entity="ANNOTATION", action="UPDATED", paged=False)
+
+
 TRACE_COLUMNS = "id, user_id, book_id, version, created_at, updated_at, deleted_at, type, type_order, start_page, end_page, body"
 TRACES = f"""
 , t AS (SELECT id, user_id, book_id, version, created_at, updated_at, deleted_at, type, CAST(type_order AS INT) AS type_order, start_page, end_page,
@@ -77,6 +83,12 @@ def traces_merged(spark, sf_dir):
     return reads.traces(archive(spark, sf_dir), size=5)
 
 
+@query(TRACES + "true", "r_traces")
+def traces_merged_all(spark, sf_dir):
+    """Every live trace of every book; traces_merged is a page of them."""
+    return reads.traces(archive(spark, sf_dir), paged=False)
+
+
 @query(TRACES + "start_page <= 20 AND end_page >= 20", "r_traces")
 def traces_on_page(spark, sf_dir):
     return reads.traces(archive(spark, sf_dir), on=20, paged=False)
@@ -103,6 +115,18 @@ def traces_page_order(spark, sf_dir):
     return reads.traces_by_page(archive(spark, sf_dir), size=3)
 
 
+@query("""
+SELECT id, book_id, version, type, start_page, end_page, created_at, updated_at,
+       CASE WHEN start_page = end_page THEN concat('第 ', start_page, ' 页') ELSE concat('第 ', start_page, '–', end_page, ' 页') END AS range_text,
+       CASE WHEN type = 'ANNOTATION' THEN coalesce(body, '') ELSE coalesce(nullif(body, ''), '未填写原因') END AS body_text,
+       CASE type WHEN 'DOG_EAR' THEN '折角' WHEN 'ANNOTATION' THEN '批注' ELSE '重读页' END AS type_label,
+       row_number() OVER (PARTITION BY book_id ORDER BY start_page, created_at DESC, type_order, id) AS place
+FROM r_traces WHERE deleted_at IS NULL""", "r_traces")
+def traces_page_order_all(spark, sf_dir):
+    """Every live trace of every book with its place in page order; traces_page_order is a page of them."""
+    return reads.traces_in_page_order(archive(spark, sf_dir))
+
+
 COUNTS = """
 , c AS (SELECT book_id, count(*) FILTER (type = 'DOG_EAR') AS dog_ears, count(*) FILTER (type = 'ANNOTATION') AS annotations,
                count(*) FILTER (type = 'REREAD_MARK') AS reread_marks FROM r_traces WHERE deleted_at IS NULL GROUP BY 1),

@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 from foliant import queries
+from foliant.operators.traces import tagged
+from foliant.sources.fixtures import archive
 
 SF = os.environ.get("FOLIANT_TEST_SF", "/root/testdata/sf0.001")
 
@@ -51,3 +53,13 @@ def test_entry_point_without_the_llm_folders(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.queries()) == set(queries.QUERIES) and set(entry.oracle_sql()) == set(queries.ORACLE_SQL)
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def test_every_live_trace_and_event_appears(spark):
+    a = archive(spark, SF)
+    live = {r.id for r in tagged(a).where("deleted_at IS NULL").select("id").collect()}
+    for name in ("traces_page_order_all", "traces_merged_all"):
+        got = [r.id for r in queries.QUERIES[name](spark, SF).select("id").collect()]
+        assert len(got) == len(live) and set(got) == live
+    edited = a.activity_events.where("entity_type = 'ANNOTATION' AND action = 'UPDATED'").count()
+    assert queries.QUERIES["timeline_by_entity_action_all"](spark, SF).count() == edited

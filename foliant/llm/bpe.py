@@ -1,9 +1,9 @@
 """BPE encoding and decoding with forced boundaries.
 
-A pair of neighbouring symbols that occurs inside no vocabulary token can never end up in one token, so a cut between
-them is certain.  Each pre-token is cut there, the fragments are merged independently (and remembered, as they repeat
-far more often than whole words), and the ids are concatenated.  The file is of the tokenizers library's format with
-BPE over byte symbols and an end-of-word suffix.
+A pair of neighbouring bytes that occurs inside no vocabulary token can never end up in one token, so a cut between
+them is certain.  Each piece of the split pattern is cut there, the fragments are merged independently, and the ids are
+concatenated.  Fragments of many words are merged side by side in numpy, one merge a fragment and round.  The file is
+of the tokenizers library's format with BPE over byte symbols and an end-of-word suffix.
 """
 
 from __future__ import annotations
@@ -16,18 +16,21 @@ from itertools import pairwise
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .runtime import kept, texts
+from .runtime import kept
+from .units import REMEMBERED, UnitCoder, buffers, portions, strings
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Words and fragments remembered by a worker between batches (about 200 bytes each); emptied when full.
-REMEMBERED = 300_000
 #: White space of the file's patterns (Unicode White_Space), which separates words.
-WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
-#: What str.split() would take for white space besides.
-SEPARATORS = regex.compile("[\x1c-\x1f]")
+WHITE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Units that are one piece of the split pattern and in normal form.
+ONE_PIECE = r"^ ?[a-zß-öø-ÿ]+$"
+#: Longer fragments are merged one by one, by a heap.
+SIDE_BY_SIDE = 64
+NO_RANK = 1 << 30
 
 
 def byte_symbols() -> list[str]:
@@ -37,123 +40,228 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
-class ForcedBoundaryBPE:
+class ForcedBoundaryBPE(UnitCoder):
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        super().__init__(remembered)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, steps = spec["model"], [s["type"] for s in spec["pre_tokenizer"]["pretokenizers"]]
         if model["type"] != "BPE" or model.get("unk_token") or model.get("byte_fallback") or model.get("ignore_merges") or steps != ["Split", "ByteLevel"]:
             raise ValueError("not a byte-level BPE file with a split pattern")
-        self.vocab: dict[str, int] = model["vocab"]
-        self.suffix = model.get("end_of_word_suffix") or ""
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.symbols = {b: s for b, s in enumerate(byte_symbols())}
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks = {m: i for i, m in enumerate(merges)}
+        vocab: dict[str, int] = model["vocab"]
+        suffix = model.get("end_of_word_suffix") or ""
+        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.normalise = Tokenizer.from_file(path).normalizer.normalize_str
         special = spec["added_tokens"]
         self.special = {t["content"]: t["id"] for t in special}
         self.marks = regex.compile("|".join(f"({regex.escape(s)})" for s in self.special)) if special else None
-        self.tokens = {i: t for t, i in self.vocab.items()} | {t["id"]: t["content"] for t in special}
-        # Every pair of symbols that some token holds next to each other; the suffix belongs to the last symbol.
-        self.inside = {p for t in self.vocab for p in pairwise(t.removesuffix(self.suffix) if self.suffix else t)}
-        self.normalise = Tokenizer.from_file(path).normalizer.normalize_str  # for words beyond ASCII
-        self.remembered = remembered
-        self.word_ids: dict[str, bytes] = {}
-        self.fragment_ids: dict[tuple[str, bool], list[int]] = {}
-
-    def fragments(self, piece: str) -> list[str]:
-        """``piece`` (byte symbols) cut between all neighbours that no token holds."""
-        out, start, inside = [], 0, self.inside
-        for i, pair in enumerate(pairwise(piece), 1):
-            if pair not in inside:
-                out.append(piece[start:i])
-                start = i
-        out.append(piece[start:])
-        return out
-
-    def merge(self, parts: list[str]) -> list[str]:
-        """Apply the merges in order of rank, leftmost first."""
-        ranks = self.ranks
-        if len(parts) <= 48:
-            while len(parts) > 1:
-                best, at = min((ranks.get(p, 1 << 60), i) for i, p in enumerate(pairwise(parts)))
-                if best == 1 << 60:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            return parts
-        n = len(parts)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(ranks[p], i, p) for i, p in enumerate(pairwise(parts)) if p in ranks]
+        tokens = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in special}
+        #: What each id decodes to behind another one: the file names no decoder, so that tokens are joined by spaces.
+        self.shown = pa.array([" " + tokens.get(i, "") for i in range(max(tokens) + 1)], pa.string())
+        self.texts = pa.array([], pa.string())
+
+        symbols = byte_symbols()
+        byte = {s: b for b, s in enumerate(symbols)}
+        self.plain = np.array([vocab.get(s, -1) for s in symbols], np.int64)
+        self.last = np.array([vocab.get(s + suffix, -1) for s in symbols], np.int64)
+        # Every pair of bytes that some token holds next to each other; the suffix belongs to the last byte.
+        self.inside = np.zeros((256, 256), bool)
+        for t in vocab:
+            for x, y in pairwise(t.removesuffix(suffix) if suffix else t):
+                self.inside[byte[x], byte[y]] = True
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        keys = np.array([vocab[x] << 32 | vocab[y] for x, y in pairs] or [0], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], (order if pairs else np.array([NO_RANK]))
+        self.merged = np.array([vocab[x + y] for x, y in pairs] or [0], np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair of ids, or ``NO_RANK``."""
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, wanted), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == wanted, self.pair_ranks[at], NO_RANK)
+
+    def merge_one(self, ids: list[int]) -> list[int]:
+        """Apply the merges to a fragment in order of rank, leftmost first."""
+        n = len(ids)
+        after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), [False] * n
+        found = self.ranks(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64)).tolist()
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(found) if r < NO_RANK]
         heapq.heapify(heap)
-        gone = [False] * n
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            r, i, x, y = heapq.heappop(heap)
             j = after[i] if not gone[i] else n
-            if j >= n or (parts[i], parts[j]) != pair:
+            if j >= n or (ids[i], ids[j]) != (x, y):
                 continue
-            parts[i] += parts[j]
-            gone[j], after[i] = True, after[j]
+            ids[i], gone[j], after[i] = int(self.merged[r]), True, after[j]
             if after[i] < n:
                 before[after[i]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (p := (parts[a], parts[b])) in ranks:
-                    heapq.heappush(heap, (ranks[p], a, p))
-        return [p for p, g in zip(parts, gone, strict=True) if not g]
-
-    def fragment(self, text: str, last: bool) -> list[int]:
-        found = self.fragment_ids.get((text, last))
-        if found is None:
-            parts = list(text)
-            if last:
-                parts[-1] += self.suffix
-            vocab = self.vocab
-            found = [vocab[p] for p in self.merge([p for p in parts if p in vocab])]
-            if len(text) <= 64:
-                self.fragment_ids[text, last] = found
-        return found
-
-    def word(self, word: str) -> bytes:
-        ids: list[int] = []
-        symbols = self.symbols
-        for piece in self.words.findall(word.lower() if word.isascii() else self.normalise(word)):
-            *head, tail = self.fragments("".join(map(symbols.__getitem__, piece.encode())))
-            for f in head:
-                ids += self.fragment(f, False)
-            ids += self.fragment(tail, True)
-        return np.array(ids, "<u4").tobytes()
-
-    def plain(self, text: str) -> list[bytes]:
-        known, out = self.word_ids, []
-        for w in WHITE.split(text) if SEPARATORS.search(text) else text.split():
-            found = known.get(w)
-            if found is None:
-                found = self.word(w)
-                if len(w) <= 64:
-                    known[w] = found
-            out.append(found)
-        return out
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian 32-bit integers; special tokens in the text get their own ids."""
-        if len(self.word_ids) > self.remembered:
-            self.word_ids.clear()
-        if len(self.fragment_ids) > self.remembered:
-            self.fragment_ids.clear()
-        if self.marks is None or not self.marks.search(text):
-            return b"".join(self.plain(text))
+                if a >= 0 and b < n and (r := int(self.ranks(np.array([ids[a]]), np.array([ids[b]]))[0])) < NO_RANK:
+                    heapq.heappush(heap, (r, a, ids[a], ids[b]))
+        return [x for x, g in zip(ids, gone, strict=True) if not g]
+
+    def merge(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for fragments given by the ids of their bytes, one after another."""
+        left: list[np.ndarray] = []  # numbers, sizes and ids of finished fragments
+        out_sizes = np.zeros(len(sizes), np.int64)
+        number = np.arange(len(sizes))
+        long = sizes > SIDE_BY_SIDE
+        order: list[np.ndarray] = []
+        if long.any():
+            ends = np.cumsum(sizes)
+            for i in np.flatnonzero(long):
+                own = np.array(self.merge_one(ids[ends[i] - sizes[i] : ends[i]].tolist()), np.int64)
+                out_sizes[i] = len(own)
+                left.append(own)
+                order.append(np.full(len(own), i))
+            ids, number, sizes = ids[np.repeat(~long, sizes)], number[~long], sizes[~long]
+        starts = np.cumsum(sizes) - sizes
+        rank = np.full(len(ids), NO_RANK, np.int64)
+        rank[:-1] = self.ranks(ids[:-1], ids[1:]) if len(ids) > 1 else rank[:-1]
+        rank[starts + sizes - 1] = NO_RANK
+        while len(sizes):
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), starts)
+            open_ = best >> 32 < NO_RANK
+            if not open_.all():
+                done = np.repeat(~open_, sizes)
+                out_sizes[number[~open_]] = sizes[~open_]
+                left.append(ids[done])
+                order.append(np.repeat(number[~open_], sizes[~open_]))
+                moved = np.cumsum(np.where(open_, 0, sizes))[open_]
+                best, number, sizes = best[open_] - moved, number[open_], sizes[open_]
+                ids, rank = ids[~done], rank[~done]
+                if not len(sizes):
+                    break
+            at = best & 0xFFFFFFFF
+            ids[at] = self.merged[best >> 32]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids, rank, at, sizes = ids[stay], rank[stay], at - np.arange(len(at)), sizes - 1
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            after = at + 1 < ends
+            rank[at] = NO_RANK
+            rank[at[after]] = self.ranks(ids[at[after]], ids[at[after] + 1])
+            before = at[at > starts]
+            rank[before - 1] = self.ranks(ids[before - 1], ids[before])
+        if not left:
+            return np.zeros(0, np.int64), out_sizes
+        flat, owner = np.concatenate(left), np.concatenate(order)
+        return flat[np.argsort(owner, kind="stable")], out_sizes
+
+    def fragments(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the fragments of pieces (their bytes, one piece after another), and which fragments end a piece."""
+        start = np.zeros(len(data) + 1, bool)
+        start[1:-1] = ~self.inside[data[:-1], data[1:]]
+        ends = np.cumsum(sizes)
+        start[ends - sizes] = start[ends] = True
+        final = np.zeros(len(data) + 1, bool)
+        final[ends] = True
+        places = np.flatnonzero(start)
+        return places[:-1], final[places[1:]]
+
+    def encode_pieces(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after another, and the number of each."""
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(len(sizes), np.int64)
+        starts, final = self.fragments(data, sizes)
+        lengths = np.diff(np.r_[starts, len(data)])
+        ids = self.plain[data]
+        ends = (starts + lengths)[final] - 1
+        ids[ends] = self.last[data[ends]]
+        known = ids >= 0  # a byte without a token of its own gives none
+        if not known.all():
+            lengths = np.add.reduceat(known.astype(np.int64), starts)
+            ids = ids[known]
+        some = lengths > 0
+        flat, found = self.merge(ids, lengths[some])
+        total = np.zeros(len(starts), np.int64)
+        total[some] = found
+        return flat, np.add.reduceat(total, np.r_[0, np.flatnonzero(final)[:-1] + 1])
+
+    def split(self, text: str) -> list[bytes]:
+        return [p.encode() for word in WHITE.split(self.normalise(text)) for p in self.pieces.findall(word)]
+
+    def _with_marks(self, text: str) -> np.ndarray:
+        """Ids of a text that holds special tokens."""
         out = []
         for part in filter(None, self.marks.split(text)):
-            if part in self.special:
-                out.append(np.array([self.special[part]], "<u4").tobytes())
-            else:
-                out += self.plain(part)
-        return b"".join(out)
+            pieces = [] if part in self.special else self.split(part)
+            sizes = np.array(list(map(len, pieces)), np.int64)
+            out.append(np.array([self.special[part]]) if part in self.special else self.encode_pieces(np.frombuffer(b"".join(pieces), np.uint8), sizes)[0])
+        return np.concatenate(out)
+
+    def whole(self, column: pa.Array) -> np.ndarray | None:
+        marked = np.zeros(len(column), bool)
+        for s in self.special:
+            marked |= pc.match_substring(column, s).to_numpy(zero_copy_only=False)
+        return marked if marked.any() else None
+
+    def prepared(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Capitals of ASCII and Latin-1 lowered, except in units with other characters, whose normal form may need them."""
+        capital = np.flatnonzero((data >= 65) & (data <= 90))
+        wide = np.flatnonzero(data[:-1] == 0xC3) + 1
+        wide = wide[(data[wide] >= 0x80) & (data[wide] <= 0x9E) & (data[wide] != 0x97)]
+        at = np.concatenate([capital, wide])
+        other = np.flatnonzero((data == 0xC2) | (data >= 0xC4))
+        if len(other):
+            foreign = np.zeros(len(places), bool)
+            foreign[np.searchsorted(places, other, "right") - 1] = True
+            at = at[~foreign[np.searchsorted(places, at, "right") - 1]]
+        out = data.copy()
+        out[at] |= 32
+        return out
 
-    def decode(self, ids: bytes) -> str:
-        """Tokens of the ids, special ones included, joined by spaces: the file names no decoder."""
-        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def keep(self, some: pa.Array) -> None:
+        super().keep(some)
+        self.texts = self.texts.take(some)
+
+    def add(self, units: pa.Array) -> None:
+        before = len(self.ids)
+        super().add(units)
+        new = self.ids.slice(before)
+        data, ends = buffers(self.shown.take(new.flatten()))
+        of = np.r_[0, np.cumsum(pc.list_value_length(new).to_numpy().astype(np.int64))]
+        self.texts = pa.concat_arrays([self.texts, strings(data, ends[of])])
+
+    def learn(self, units: pa.Array) -> pa.Array:
+        single = pc.match_substring_regex(units, ONE_PIECE).to_numpy(zero_copy_only=False)
+        data, ends = buffers(units.filter(pa.array(single)))
+        sizes = np.diff(ends) - (data[ends[:-1]] == 32)
+        other = units.filter(pa.array(~single)).to_pylist()
+        marked = {i: self._with_marks(u) for i, u in enumerate(other) if self.marks and self.marks.search(u)}
+        pieces = [[] if i in marked else self.split(u) for i, u in enumerate(other)]
+        bytes_ = b"".join(p for own in pieces for p in own)
+        data = np.concatenate([data[data != 32], np.frombuffer(bytes_, np.uint8)])
+        all_sizes = np.concatenate([sizes, np.array([len(p) for own in pieces for p in own], np.int64)])
+        flat, n = self.encode_pieces(data, all_sizes)
+        bounds = np.r_[0, np.cumsum(n)][np.r_[np.arange(len(sizes) + 1), len(sizes) + np.cumsum(list(map(len, pieces)), dtype=np.int64)]]
+        if marked:
+            parts = np.split(flat, bounds[1:-1])
+            for i, ids in marked.items():
+                parts[len(sizes) + i] = ids
+            flat, bounds = np.concatenate(parts), np.r_[0, np.cumsum(list(map(len, parts)))]
+        listed = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
+        return listed.take(pa.array(np.where(single, np.cumsum(single) - 1, single.sum() + np.cumsum(~single) - 1)))
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Tokens of the ids, special ones included, joined by spaces."""
+        return "".join(self.shown.take(pa.array(ids, pa.int64())).to_pylist())[1:]
+
+    def round_trip(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, where each text's begin and the last end, and the same of decoded bytes.
+
+        The decoded text of each begins with a space that is to be left out.
+        """
+        index, rows = self.look_up(column)
+        at = pa.array(index)
+        sizes = pc.list_value_length(self.ids).to_numpy().astype(np.int64)
+        values = self.ids.take(at).flatten().to_numpy()
+        data, ends = buffers(self.texts.take(at))
+        return values, np.r_[0, np.cumsum(sizes[index])][rows], data, ends[rows]
 
 
 def coder(path: str) -> ForcedBoundaryBPE:
@@ -165,28 +273,26 @@ def _digests(path: str):
     from hashlib import sha256
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path)
         for batch in batches:
-            n, ids, decoded = [], [], []
-            for text in texts(batch.column(1)):
-                coded = bpe.encode(text)
-                n.append(len(coded) // 4)
-                ids.append(sha256(coded).hexdigest())
-                decoded.append(sha256(bpe.decode(coded).encode()).hexdigest())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for some in portions(batch):
+                values, at, data, ends = coder(path).round_trip(some.column(1))
+                values = values.astype("<u4", copy=False)
+                ids = [sha256(values[a:b]).hexdigest() for a, b in pairwise(at.tolist())]
+                decoded = [sha256(data[min(a + 1, b) : b]).hexdigest() for a, b in pairwise(ends.tolist())]
+                columns = [some.column(0), pa.array(np.diff(at)), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digests
 
 
 def _coded(path: str):
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                ids = bpe.encode(text)
-                tokens = pa.array([np.frombuffer(ids, "<i4")], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), tokens, pa.array([bpe.decode(ids)])], names=["doc_id", "tokens", "decoded"])
+            for some in portions(batch):
+                values, at, data, ends = coder(path).round_trip(some.column(1))
+                tokens = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
+                decoded = [data[min(a + 1, b) : b].tobytes().decode() for a, b in pairwise(ends.tolist())]
+                yield pa.RecordBatch.from_arrays([some.column(0), tokens, pa.array(decoded, pa.string())], names=["doc_id", "tokens", "decoded"])
 
     return coded
 

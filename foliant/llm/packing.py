@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise, texts
-from .token_store import VOCABULARY, encoder, portions
+from .runtime import materialise
+from .token_store import VOCABULARY, encoder
+from .units import portions
 
 CAPACITY = 4096
 #: Documents expected in a shard, and the most that are packed together should equal rows fill one.
@@ -126,7 +127,7 @@ def _token_counts(path: str):
     def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             whole = pa.RecordBatch.from_arrays([batch, batch], names=["row", "text"])
-            n = [encoder(path).encode_arrays(texts(some.column(1)))[1] + 1 for some in portions(whole)]
+            n = [encoder(path).counts(some.column(1)) + 1 for some in portions(whole)]
             yield pa.array(np.concatenate(n) if n else [], pa.int64())
 
     counts.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

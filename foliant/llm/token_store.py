@@ -12,10 +12,10 @@ partition) turn it into a place in the whole stream.
 
 from __future__ import annotations
 
+import json
 import os
-import re
-from array import array
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -25,105 +25,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .runtime import kept, texts
+from .runtime import kept
+from .units import REMEMBERED, UnitCoder, buffers, portions
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
-#: Units remembered by a worker between batches (about 170 bytes each); the memory is emptied when full.
-REMEMBERED = 400_000
-#: White space in runs, and white space other than the space and the line feed.
-RUNS = ("  ", "\n\n", " \n", "\n ")
-ASCII_WHITE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-OTHER_WHITE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Bytes of text encoded at a time.
-PORTION = 3 << 20
+#: Units that the split pattern leaves in one piece: letters, digits or signs alone.  The ranges of letters are in every
+#: version of Unicode.
+ONE_PIECE = r"^ ?(?:[A-Za-zÀ-ÖØ-öø-ÿĀ-ɏα-ωА-яぁ-ゖァ-ヺ一-龥가-힣]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)$"
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
 
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, tokens array<int>"
 
 
-class ByteLevelEncoder:
-    """Encodes whole texts with a byte-level BPE file of the tokenizers library.
+class ByteLevelEncoder(UnitCoder):
+    """Encodes whole texts with a byte-level BPE file of the tokenizers library, which is asked once for each new unit.
 
-    The file's split pattern always cuts before a space that is followed by a character other than white space, around
-    a single line feed between such characters, and between letters and a mark at the end of a word.  Texts are taken
-    apart there, Arrow finds the distinct units of a batch, and the library is asked once for each that is new.  A text
-    that holds the string of a special token is given to the library whole.
+    A text that holds the string of a special token is given to the library whole, and so is every text where the file
+    is of another kind.
     """
 
-    MARKS = frozenset(".,;:!?")
-
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
+        super().__init__(remembered)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
-        self.symbols = {b: s for b, s in enumerate(byte_symbols())}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, split = spec["model"], spec["pre_tokenizer"] or {}
+        self.splits = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and not any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        self.splits &= model["type"] == "BPE" and not (model["dropout"] or model["unk_token"] or model["continuing_subword_prefix"] or model["end_of_word_suffix"] or model.get("ignore_merges"))
+        self.model = None
+        if self.splits:
+            # The file's model without the cache of its own, which costs more than it gives for units that are all new.
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            self.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
+        self.symbols = np.array([ord(s) for s in byte_symbols()], np.uint16)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.remembered = remembered
-        #: Ids of units, with the space that belongs to them.
-        self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def cut(text: str) -> str:
-        """The text with a zero character at every cut."""
-        plain = not any(map(text.__contains__, RUNS)) and not (text[:1].isspace() or text[-1:].isspace())
-        if plain and not (any(map(text.__contains__, ASCII_WHITE)) if text.isascii() else OTHER_WHITE.search(text)):
-            return text.replace(" ", "\0 ").replace("\n", "\0\n\0")
-        first, *rest = text.split(" ")
-        return first + "".join(" " + p if not p or p[0].isspace() else "\0 " + p for p in rest)
-
-    def learn(self, new: list[str]) -> None:
-        known, tokenize, symbols = self.known, self.model.tokenize, self.symbols
-        marked = [u for u in new if u[-1:] in self.MARKS and u[:-1].removeprefix(" ").isalpha()]
-        bare = {u[:-1] for u in marked}
-        asked = [*set(new).difference(marked), *bare.difference(known, new)]
-        other = []
-        for u in asked:
-            # Letters alone are one piece of the split pattern, so that the file's model can be asked without it.
-            if u.removeprefix(" ").isalpha():
-                known[u] = array("i", [t.id for t in tokenize(u.encode().decode("latin-1").translate(symbols))]).tobytes()
-            else:
-                other.append(u)
+
+    def whole(self, column: pa.Array) -> np.ndarray | None:
+        if not self.splits:
+            return np.ones(len(column), bool)
+        marked = np.zeros(len(column), bool)
+        for s in self.special:
+            marked |= pc.match_substring(column, s).to_numpy(zero_copy_only=False)
+        return marked if marked.any() else None
+
+    def learn(self, units: pa.Array) -> pa.Array:
+        single = pc.match_substring_regex(units, ONE_PIECE) if self.splits else pa.array(np.zeros(len(units), bool))
+        data, ends = buffers(units.filter(single))
+        symbols, places, tokenize = self.symbols[data].tobytes().decode("utf-16-le"), ends.tolist(), self.model and self.model.tokenize
+        ids = [[t.id for t in tokenize(symbols[a:b])] for a, b in pairwise(places)]
+        other = units.filter(pc.invert(single)).to_pylist()
         for i in range(0, len(other), 4096):
-            some = other[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            known.update((u, array("i", e.ids).tobytes()) for u, e in zip(some, found, strict=True))
-        for mark in {u[-1] for u in marked}.difference(known):
-            known[mark] = self.whole(mark)
-        known.update((u, known[u[:-1]] + known[u[-1]]) for u in marked)
-
-    def whole(self, text: str) -> bytes:
-        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def encode_arrays(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and the number of each."""
-        known = self.known
-        if len(known) > self.remembered:
-            known.clear()
-        odd = {i: self.whole(t) for i, t in enumerate(batch) if "\0" in t or any(s in t for s in self.special)}
-        units = pc.split_pattern(pa.array([self.cut("" if i in odd else t) for i, t in enumerate(batch)], pa.string()), "\0")
-        coded = units.values.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self.learn([u for u in distinct if u not in known])
-        ids = [known[u] for u in distinct]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-        index = coded.indices.to_numpy()
-        values = lists.take(coded.indices).flatten().to_numpy()
-        ends = np.r_[0, np.cumsum(sizes[index])][units.offsets.to_numpy()]
-        counts = np.diff(ends)
-        if odd:
-            parts = [np.frombuffer(odd[i], np.int32) if i in odd else values[ends[i] : ends[i + 1]] for i in range(len(batch))]
-            values, counts = np.concatenate(parts), np.array(list(map(len, parts)))
-        return values, counts
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        values, counts = self.encode_arrays(batch)
-        return [x.tobytes() for x in np.split(values, np.cumsum(counts)[:-1])] if batch else []
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(other[i : i + 4096], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+        listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
+        own = single.to_numpy(zero_copy_only=False)
+        return listed.take(pa.array(np.where(own, np.cumsum(own) - 1, own.sum() + np.cumsum(~own) - 1)))
 
 
 def encoder(path: str) -> ByteLevelEncoder:
@@ -137,10 +100,13 @@ def _encode(path: str, end_id: int):
         place = 0
         for batch in batches:
             for some in portions(batch):
-                values, n = encoder(path).encode_arrays(texts(some.column(1)))
-                tokens = np.insert(values, np.cumsum(n), end_id).astype(np.int32)
+                values, n = encoder(path).encode_arrays(some.column(1))
                 n = n + 1
                 ends = np.r_[0, np.cumsum(n)]
+                tokens = np.full(ends[-1], end_id, np.int32)
+                own = np.ones(ends[-1], bool)
+                own[ends[1:] - 1] = False
+                tokens[own] = values
                 listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens))
                 columns = [some.column(0), pa.array(place + ends[:-1]), pa.array(n), listed]
                 place += int(ends[-1])
@@ -149,16 +115,6 @@ def _encode(path: str, end_id: int):
     return encode
 
 
-def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``PORTION`` bytes of text (its second column), a single row at least."""
-    size = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()])
-    start = 0
-    while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(size, size[start] + PORTION, "right")) - 1)
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def write_token_store(
     docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, encoding: str = "dictionary"
 ) -> None:

@@ -2,6 +2,7 @@ import random
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,9 +21,12 @@ TEXTS = [
 
 def check(coder, text):
     want = LIBRARY.encode(text, add_special_tokens=False).ids
-    ids = coder.encode(text)
+    [ids] = coder.encode([text])
     assert np.frombuffer(ids, "<u4").tolist() == want
-    assert coder.decode(ids) == LIBRARY.decode(want, skip_special_tokens=False)
+    assert coder.decode(np.frombuffer(ids, "<u4")) == LIBRARY.decode(want, skip_special_tokens=False)
+    values, at, data, ends = coder.round_trip(pa.array([text]))
+    assert values.tolist() == want and at.tolist() == [0, len(want)]
+    assert data[min(1, ends[1]) :].tobytes().decode() == LIBRARY.decode(want, skip_special_tokens=False)
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -44,9 +48,21 @@ def test_small_memory_changes_nothing():
 
 def test_cuts_are_made_and_certain():
     coder = bpe.coder(bpe.VOCABULARY)
-    cut = coder.fragments("qxjzkvwq")
-    assert len(cut) > 1 and "".join(cut) == "qxjzkvwq"
-    assert not any(a[-1] + b[0] in token for a, b in zip(cut, cut[1:], strict=False) for token in coder.vocab)
+    data = np.frombuffer(b"qxjzkvwq", np.uint8)
+    starts, final = coder.fragments(data, np.array([4, 4]))
+    assert len(starts) > 2 and final.sum() == 2 and final[-1]
+    tokens = [t.removesuffix("</w>") for t in LIBRARY.get_vocab()]
+    for a in set(starts.tolist()) - {0, 4}:
+        assert not any(chr(data[a - 1]) + chr(data[a]) in token for token in tokens)
+
+
+def test_one_by_one_and_side_by_side_agree():
+    coder, rng = bpe.coder(bpe.VOCABULARY), random.Random(1)
+    words = ["".join(rng.choices("abcdehinorst", k=rng.randrange(1, 60))) for _ in range(400)]
+    ids = [coder.plain[np.frombuffer(w.encode(), np.uint8)] for w in words]
+    flat, n = coder.merge(np.concatenate(ids), np.array(list(map(len, ids))))
+    got = np.split(flat, np.cumsum(n)[:-1])
+    assert [g.tolist() for g in got] == [coder.merge_one(i.tolist()) for i in ids]
 
 
 def test_operator(spark):

@@ -24,8 +24,9 @@ _nfc.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Arr
 
 
 def nfc(text: Column) -> Column:
-    """Unicode normal form C, which Spark has no function for."""
-    return F.arrow_udf(_nfc, "string")(text)
+    """Unicode normal form C, which Spark has no function for; texts of ASCII are in it and don't go to Python."""
+    plain = text.rlike(r"^\p{ASCII}*$")
+    return F.coalesce(F.when(plain, text), F.arrow_udf(_nfc, "string")(F.when(~plain, text)))
 
 
 def trim(text: Column) -> Column:

@@ -22,14 +22,6 @@ def equal(df: DataFrame, **wanted) -> DataFrame:
     return df
 
 
-def one_of(df: DataFrame, name: str, wanted: list | None) -> DataFrame:
-    return df if wanted is None else df.where(F.col(name).isin(wanted))
-
-
-def not_self(df: DataFrame, row_id: str | None) -> DataFrame:
-    return df if row_id is None else df.where(F.col("id") != row_id)
-
-
 def between(df: DataFrame, name: str, start=None, end=None) -> DataFrame:
     """Closed on both sides; either may be open."""
     if start is not None:

@@ -45,7 +45,9 @@ def list_books(archive: Archive, tenant=None, status=None, search=None, page=Non
     latest = last_traces(narrowed(archive.activity_events))
     joined = rows.join(children, rows.id == children.book_id, "left").drop(children.book_id).join(latest, rows.id == latest.book_id, "left").drop(latest.book_id)
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("dog_ears", "annotations", "reread_marks")]
-    return joined.select("user_id", *BOOK_COLUMNS, *counts, (F.coalesce("reflections", F.lit(0)) > 0).alias("has_reflection"), "last_trace_at")
+    shown = joined.select("user_id", *BOOK_COLUMNS, *counts, (F.coalesce("reflections", F.lit(0)) > 0).alias("has_reflection"), "last_trace_at")
+    # Joins keep no order: a single page, of 100 rows at most, is put in order again.
+    return shown if tenant is None else shown.orderBy(F.desc("updated_at"), F.desc("id"))
 
 
 def book_totals(archive: Archive, tenant=None, status=None, search=None) -> DataFrame:
@@ -58,16 +60,21 @@ def book_detail(archive: Archive, tenant=None, book=None) -> DataFrame:
     own = f.equal(f.live(archive.completion_reflections), user_id=tenant, book_id=book)
     item = F.struct("completed_at", "created_at", "id", "completion_round", "mood_tags", F.coalesce("reflection", F.lit("")).alias("text"))
     nested = own.groupBy("book_id").agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
-    counts = counts_by_book(archive)
+    names = ("dog_ears", "annotations", "reread_marks", "completion_reflections")
+    counts = counts_by_book(Archive(**{**vars(archive), **{n: f.equal(getattr(archive, n), user_id=tenant, book_id=book) for n in names}}))
     joined = rows.join(counts, rows.id == counts.book_id, "left").drop(counts.book_id).join(nested, rows.id == nested.book_id, "left").drop(nested.book_id)
     numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("dog_ears", "annotations", "reread_marks")]
     return joined.select("user_id", *BOOK_COLUMNS, *numbers, F.coalesce("items", F.array()).alias("reflections"))
 
 
 def reflections(archive: Archive, tenant=None, book=None) -> DataFrame:
+    """Live reflections with their ``place`` in the list of their book, the last round first; a single list is in order."""
     rows = f.equal(f.live(archive.completion_reflections), user_id=tenant, book_id=book)
     text = F.coalesce("reflection", F.lit("")).alias("text")
-    return rows.select("id", "user_id", "book_id", "version", "completion_round", "mood_tags", text, "completed_at", "editable_until", "created_at", "updated_at")
+    latest = [F.desc("completion_round"), F.asc("id")]
+    place = F.row_number().over(Window.partitionBy("book_id").orderBy(*latest)).alias("place")
+    shown = rows.select("id", "user_id", "book_id", "version", "completion_round", "mood_tags", text, "completed_at", "editable_until", "created_at", "updated_at", place)
+    return shown if book is None else shown.orderBy("place")
 
 
 def traces(
@@ -75,12 +82,21 @@ def traces(
     start=None, end=None, page=None, size=None, order: list[Column] | None = None, paged: bool = True,
 ) -> DataFrame:
     """Live traces of a book, or of every book, newest first; all matches with ``paged=False``."""
+    rows = traces_where(archive, tenant, book, kind, keyword, on, start, end)
+    return page_of(rows, order or newest_first(), page, size, None if book is not None else "book_id") if paged else rows
+
+
+def traces_where(archive: Archive, tenant=None, book=None, kind: str | None = None, keyword: str | None = None, on: int | None = None, start=None, end=None) -> DataFrame:
     _known("type", kind, TRACE_TYPES)
     if on is not None and on < 1:
         raise ValueError("VALIDATION_ERROR: pages count from 1")
     rows = f.equal(f.live(tagged(archive)), user_id=tenant, book_id=book, type=kind)
-    rows = f.contains(f.on_page(f.between(rows, "created_at", start, end), on), keyword, "body")
-    return page_of(rows, order or newest_first(), page, size, None if book is not None else "book_id") if paged else rows
+    return f.contains(f.on_page(f.between(rows, "created_at", start, end), on), keyword, "body")
+
+
+def trace_totals(archive: Archive, **wanted) -> DataFrame:
+    """How many traces of each book the pages of :func:`traces` hold together."""
+    return traces_where(archive, **wanted).groupBy("book_id").agg(F.count("*").alias("total"))
 
 
 def traces_by_page(archive: Archive, **wanted) -> DataFrame:
@@ -116,7 +132,8 @@ def timeline(archive: Archive, page=None, size=None, per: str | None = "user_id"
         rows = page_of(rows, [F.desc("occurred_at"), F.desc("id")], page, size, None if wanted.get("tenant") is not None else per)
     titles = archive.books.select(F.col("id").alias("book_id"), "title")
     title = F.coalesce("title", F.lit(labels.DELETED_BOOK)).alias("book_title")
-    return rows.join(titles, "book_id", "left").select("id", "user_id", "book_id", title, "entity_type", "entity_id", "action", F.col("payload_json").alias("payload"), "occurred_at")
+    shown = rows.join(titles, "book_id", "left").select("id", "user_id", "book_id", title, "entity_type", "entity_id", "action", F.col("payload_json").alias("payload"), "occurred_at")
+    return shown.orderBy(F.desc("occurred_at"), F.desc("id")) if paged and (wanted.get("tenant") is not None or per is None) else shown
 
 
 def next_rounds(archive: Archive) -> DataFrame:
@@ -156,9 +173,14 @@ def export_guard(archive: Archive, limit: int = EXPORT_ROWS, include_deleted: bo
 
 
 def export_archive(archive: Archive, exported_at, include_deleted: bool | str = False, limit: int = EXPORT_ROWS) -> DataFrame:
-    """``user_id, file_name, document``: one JSON document for each person whose export is allowed."""
-    allowed = export_guard(archive, limit, include_deleted).where("reject_code IS NULL").select("user_id")
-    users = archive.users.join(allowed, F.col("id") == allowed.user_id, "left_semi")
+    """``user_id, file_name, document``: one JSON document for each person whose export is allowed.
+
+    A person without rows gets a document of empty arrays.
+    """
+    guarded = export_guard(archive, limit, include_deleted)
+    refused = guarded.where("reject_code IS NOT NULL").select("user_id")
+    allowed = guarded.where("reject_code IS NULL").select("user_id")
+    users = archive.users.join(refused, F.col("id") == refused.user_id, "left_anti")
     at = f.value(exported_at)
     for name, df, when in (("books", archive.books, "created_at"), ("dogEars", archive.dog_ears, "created_at"), ("annotations", archive.annotations, "created_at"), ("rereadMarks", archive.reread_marks, "created_at"), ("reflections", archive.completion_reflections, "created_at"), ("activityEvents", archive.activity_events, "occurred_at")):
         rows = (df if name == "activityEvents" else f.live(df, include_deleted)).join(allowed, "user_id", "left_semi")

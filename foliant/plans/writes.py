@@ -2,14 +2,16 @@
 
 Each request has ``request_id``, ``user_id`` and ``at`` (its moment), ``id`` where it names a row, ``version`` where it
 expects one, and the fields of its body; ``given`` lists the fields that an update sets.  A refusal carries the code of
-the first rule that fails.  Where several requests of a batch change one row, the first by time goes through and the
-others are stale, as under the row locks and version checks of a live store.  :func:`merged` applies the rows.
+the first rule that fails.  Where several requests of a batch name one row, they take effect one after another, by time
+and request, as under the row locks of a live store: each sees what the earlier ones left, and a stated version must be
+the one of that moment.  :func:`merged` applies the rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +45,44 @@ def applied(archive: Archive, outcome: Outcome) -> Archive:
     return Archive(**{**vars(archive), **tables, "activity_events": events})
 
 
+def in_turn(*per: str):
+    """A write whose requests for one row take effect in turn: round k holds the k-th request of every row.
+
+    A batch has as many rounds as its busiest row has requests, one as a rule.  A later round reads the tables as the
+    earlier ones left them; where the session has a checkpoint folder, lineage is cut there between rounds.
+    """
+
+    def decorate(write: Callable[..., Outcome]) -> Callable[..., Outcome]:
+        @wraps(write)
+        def whole(archive: Archive, requests: DataFrame, *more) -> Outcome:
+            turn = F.row_number().over(Window.partitionBy(*per).orderBy("at", "request_id"))
+            queued = requests.withColumn("_turn", turn)
+            rounds = queued.agg(F.max("_turn")).first()[0] or 1
+            if rounds == 1:
+                return write(archive, requests, *more)
+            outcomes = []
+            for k in range(1, rounds + 1):
+                outcomes.append(_cut(write(archive, queued.where(F.col("_turn") == k).drop("_turn"), *more)))
+                archive = applied(archive, outcomes[-1])
+            return reduce(_then, outcomes)
+
+        return whole
+
+    return decorate
+
+
+def _cut(outcome: Outcome) -> Outcome:
+    if not outcome.events.sparkSession.sparkContext.getCheckpointDir():
+        return outcome
+    return Outcome({n: df.checkpoint() for n, df in outcome.rows.items()}, outcome.events.checkpoint(), outcome.rejects.checkpoint())
+
+
+def _then(first: Outcome, second: Outcome) -> Outcome:
+    rows = {n: merged(df, second.rows[n]) if n in second.rows else df for n, df in first.rows.items()}
+    rows |= {n: df for n, df in second.rows.items() if n not in rows}
+    return Outcome(rows, first.events.unionByName(second.events), first.rejects.unionByName(second.rejects))
+
+
 def event(entity: str, action: str, entity_id: Column, number: int = 0, **payload) -> Column:
     """An event of the request at hand; its id follows from the request, so that a retry writes the same one."""
     body = F.to_json(F.struct(*(v.alias(k) for k, v in payload.items())), {"ignoreNullFields": "false"}) if payload else F.lit("{}")
@@ -96,6 +136,7 @@ def _version_up() -> Column:
     return (F.col("t_version") + 1).cast("int")
 
 
+@in_turn("id")
 def create_books(archive: Archive, requests: DataFrame) -> Outcome:
     """Requests carry the new ``id`` and the book's fields; a book can't begin as finished."""
     isbn = tx.empty_to_null(tx.clean_isbn(F.col("isbn")))
@@ -105,7 +146,7 @@ def create_books(archive: Archive, requests: DataFrame) -> Outcome:
         ~tx.uuid_valid(F.col("id")) | ~F.col("status").isin([s for s in BOOK_STATUSES if s != "READ"]) | title.isNull() | ~rules.within("title", title)
         | ~_book_fields_valid()
     )
-    decided = _decided(rows, [(bad, "VALIDATION_ERROR"), (F.col("id").isin([]), "DUPLICATE_RESOURCE")], F.col("id"))
+    decided = _decided(rows, [(bad, "VALIDATION_ERROR")])
     taken = archive.books.select("id").withColumn("_taken", F.lit(True))
     decided = decided.join(taken, "id", "left").withColumn("reject_code", F.coalesce("reject_code", F.when(F.col("_taken"), F.lit("DUPLICATE_RESOURCE"))))
     good = decided.where("reject_code IS NULL").withColumns({"title": title, "author": _text("author"), "publisher": _text("publisher")})
@@ -138,6 +179,7 @@ def _book_row(rows: DataFrame, archive: Archive, **new: Column) -> DataFrame:
     return rows.select(*((new[c] if c in new else F.col(f"t_{c}")).alias(c) for c in archive.books.columns))
 
 
+@in_turn("id")
 def update_books(archive: Archive, requests: DataFrame) -> Outcome:
     """A status can't be set here; a request that gives no field changes nothing."""
     rows = _with_books(archive, requests.withColumn("isbn", tx.empty_to_null(tx.clean_isbn(F.col("isbn")))))
@@ -156,6 +198,7 @@ def update_books(archive: Archive, requests: DataFrame) -> Outcome:
     return Outcome({"books": new}, _events(good, updated), _rejects(decided))
 
 
+@in_turn("id")
 def change_status(archive: Archive, requests: DataFrame) -> Outcome:
     """``status`` and, to finish a book, ``reflection_id``, ``mood_tags``, ``text`` and ``completed_at`` (else the moment).
 
@@ -197,6 +240,7 @@ def change_status(archive: Archive, requests: DataFrame) -> Outcome:
 CHILDREN = {"dog_ears": "DOG_EAR", "annotations": "ANNOTATION", "reread_marks": "REREAD_MARK", "completion_reflections": "COMPLETION_REFLECTION"}
 
 
+@in_turn("id")
 def delete_books(archive: Archive, requests: DataFrame) -> Outcome:
     """Deletes the book with its live traces and reflections, with an event for each."""
     decided = _decided(_with_books(archive, requests), [(F.col("t_id").isNull(), "NOT_FOUND"), (_stale(), "STALE_WRITE")], F.col("id"))
@@ -242,8 +286,12 @@ def create_traces(archive: Archive, requests: DataFrame, kind: Kind) -> Outcome:
     """Requests carry the new ``id``, ``book_id``, pages and text.
 
     A dog-ear on a page that has one is the same again if the reasons agree, and then changes nothing; else it is
-    refused.  Of several new dog-ears of a batch for one page the first is made and the others are refused.
+    refused.  Of several new dog-ears of a batch for one page the first is made, and the others are held against it.
     """
+    return _create_dog_ears(archive, requests, kind) if kind is DOG_EARS else _create_traces(archive, requests, kind)
+
+
+def _create_traces(archive: Archive, requests: DataFrame, kind: Kind) -> Outcome:
     table = getattr(archive, kind.table)
     books = archive.books.where("deleted_at IS NULL").select(F.col("id").alias("_book"), F.col("user_id").alias("_owner"), F.col("page_count").alias("_page_count"))
     rows = requests.join(books, (F.col("book_id") == F.col("_book")) & (F.col("user_id") == F.col("_owner")), "left")
@@ -252,8 +300,9 @@ def create_traces(archive: Archive, requests: DataFrame, kind: Kind) -> Outcome:
     bad = ~rules.within(kind.bounds, F.col(kind.text)) | (F.col(kind.text).isNull() if kind.text == "content" else F.lit(False))
     checks = [(bad, "VALIDATION_ERROR"), (F.col("_book").isNull(), "NOT_FOUND"), (~kind.pages_valid(F.col("_page_count")), "VALIDATION_ERROR")]
     if kind is DOG_EARS:
-        there = table.where("deleted_at IS NULL").select(F.col("book_id").alias("_b"), F.col("page_number").alias("_p"), F.col("reason").alias("_reason"), F.lit(True).alias("_taken"))
-        there = there.dropDuplicates(["_b", "_p"])
+        # The index of a live store holds one; among several the oldest is asked.
+        there = table.where("deleted_at IS NULL").groupBy(F.col("book_id").alias("_b"), F.col("page_number").alias("_p"))
+        there = there.agg(F.min_by("reason", F.struct("created_at", "id")).alias("_reason"), F.lit(True).alias("_taken"))
         rows = rows.join(there, (F.col("book_id") == F.col("_b")) & (F.col("page_number") == F.col("_p")), "left")
         same = F.coalesce("_reason", F.lit("")) == F.coalesce("reason", F.lit(""))
         rows = rows.withColumn("idempotent", F.coalesce(F.col("_taken") & same, F.lit(False)))
@@ -269,6 +318,9 @@ def create_traces(archive: Archive, requests: DataFrame, kind: Kind) -> Outcome:
     return Outcome({kind.table: new}, _events(good, event(kind.entity, "CREATED", F.col("id"), **kind.payload(), **extra)), _rejects(decided))
 
 
+_create_dog_ears = in_turn("book_id", "page_number")(_create_traces)
+
+
 def _with_rows(archive: Archive, requests: DataFrame, table: str, deleted: bool = False) -> DataFrame:
     """Requests with their person's row (t_) and its book (b_); ``t_id`` is null where there is none of that state."""
     own = _renamed(getattr(archive, table).where(f"deleted_at IS {'NOT ' * deleted}NULL"), "t_")
@@ -290,6 +342,7 @@ def _page_taken(archive: Archive, rows: DataFrame) -> DataFrame:
     return rows.join(taken, "request_id", "left")
 
 
+@in_turn("id")
 def update_traces(archive: Archive, requests: DataFrame, kind: Kind) -> Outcome:
     rows = _with_rows(archive, requests, kind.table)
     body = tx.normalise(F.col("content")) if kind.text == "content" else _text("reason")
@@ -314,6 +367,7 @@ def _first_on_page(decided: DataFrame, moving: Column) -> DataFrame:
     return decided.withColumn("_place", first).withColumn("reject_code", F.when(contender & (F.col("_place") > 1), F.lit("DOG_EAR_EXISTS")).otherwise(F.col("reject_code")))
 
 
+@in_turn("id")
 def delete_traces(archive: Archive, requests: DataFrame, kind: Kind) -> Outcome:
     rows = _with_rows(archive, requests, kind.table)
     decided = _decided(rows, [(F.col("t_id").isNull(), "NOT_FOUND"), (_stale(), "STALE_WRITE")], F.col("id"))
@@ -322,6 +376,7 @@ def delete_traces(archive: Archive, requests: DataFrame, kind: Kind) -> Outcome:
     return Outcome({kind.table: _row(good, archive, kind.table, deleted_at=F.col("at"))}, _events(good, deleted), _rejects(decided))
 
 
+@in_turn("id")
 def restore_traces(archive: Archive, requests: DataFrame, kind: Kind) -> Outcome:
     """Within a day of the deletion, if the book is live and, for a dog-ear, its page still free."""
     rows = _with_rows(archive, requests, kind.table, deleted=True)
@@ -342,6 +397,7 @@ def restore_traces(archive: Archive, requests: DataFrame, kind: Kind) -> Outcome
     return Outcome({kind.table: _row(good, archive, kind.table, deleted_at=gone)}, _events(good, restored), _rejects(decided))
 
 
+@in_turn("id")
 def update_reflections(archive: Archive, requests: DataFrame) -> Outcome:
     """``mood_tags`` and ``text`` as given, until the edit window closes."""
     rows = _with_rows(archive, requests, "completion_reflections")
@@ -379,6 +435,7 @@ def _book_change(rows: DataFrame, archive: Archive, status: str) -> DataFrame:
     return _book_row(books, archive, status=F.lit(status))
 
 
+@in_turn("id")
 def delete_reflections(archive: Archive, requests: DataFrame) -> Outcome:
     """A finished book without a live round as late as the deleted one goes back to reading."""
     rows = _with_rows(archive, requests, "completion_reflections")
@@ -397,6 +454,7 @@ def delete_reflections(archive: Archive, requests: DataFrame) -> Outcome:
     return Outcome(new, _events(good, deleted, F.when(F.col("_back"), back)), _rejects(decided))
 
 
+@in_turn("id")
 def restore_reflections(archive: Archive, requests: DataFrame) -> Outcome:
     """Inside the edit window, if the book is being read and has no later live round; the book is finished again."""
     rows = _latest_other(archive, _with_rows(archive, requests, "completion_reflections", deleted=True))

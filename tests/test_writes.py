@@ -83,9 +83,21 @@ def test_update_books(spark, archive):
     ]
     outcome, events, rejects = run(spark, archive, writes.update_books, rows)
     (book,) = outcome.rows["books"].collect()
-    assert (book.id, book.page_count, book.version, book.updated_at, book.title) == ("b", 60, 2, NOW, "B")
-    assert rejects == {"q0": "PAGE_COUNT_TOO_SMALL", "q2": "STALE_WRITE", "q3": "STALE_WRITE", "q4": "NOT_FOUND", "q5": "NOT_FOUND", "q7": "VALIDATION_ERROR"}
-    assert events == [("BOOK", "UPDATED", "b", '{"bookTitle":"B","previousStatus":"READING"}')]
+    assert (book.id, book.page_count, book.version, book.updated_at, book.title) == ("b", 60, 3, NOW, "late")
+    assert rejects == {"q0": "PAGE_COUNT_TOO_SMALL", "q3": "STALE_WRITE", "q4": "NOT_FOUND", "q5": "NOT_FOUND", "q7": "VALIDATION_ERROR"}
+    assert events == [("BOOK", "UPDATED", "b", f'{{"bookTitle":"{t}","previousStatus":"READING"}}') for t in ("B", "late")]
+
+
+def test_requests_for_one_row_take_effect_in_turn(spark, archive):
+    rows = [{"id": U % 1, "title": "one"}, {"id": U % 1, "title": "two"}, {"id": U % 2, "title": " "}, {"id": U % 2, "title": "three"}]
+    outcome, events, rejects = run(spark, archive, writes.create_books, rows)
+    assert sorted(r.title for r in outcome.rows["books"].collect()) == ["one", "three"] and len(events) == 2
+    assert rejects == {"q1": "DUPLICATE_RESOURCE", "q2": "VALIDATION_ERROR"}
+    rows = [{"id": "b", "status": "PAUSED"}, {"id": "b", "status": "ABANDONED", "version": 2}, {"id": "b", "status": "READING"}]
+    outcome, events, rejects = run(spark, archive, writes.change_status, rows)
+    (book,) = outcome.rows["books"].collect()
+    assert (book.status, book.version, rejects) == ("ABANDONED", 3, {"q2": "INVALID_STATUS_TRANSITION"})
+    assert [json.loads(e[3])["previousStatus"] for e in events] == ["PAUSED", "READING"]
 
 
 def test_finish_a_book(spark, archive):
@@ -115,7 +127,7 @@ def test_status_rules(spark, archive, row, code):
 
 def test_delete_book_cascades(spark, archive):
     outcome, events, rejects = run(spark, archive, writes.delete_books, [{"id": "b"}, {"id": "b"}, {"id": "gone"}])
-    assert rejects == {"q1": "STALE_WRITE", "q2": "NOT_FOUND"}
+    assert rejects == {"q1": "NOT_FOUND", "q2": "NOT_FOUND"}
     assert [e[2] for e in events if e[3] == '{"cascade":true}'] == ["a1", "c3", "d1", "d2", "m1"] and len(events) == 6
     assert len({r.id for r in outcome.events.collect()}) == 6
     after = writes.applied(archive, outcome)
@@ -125,11 +137,11 @@ def test_delete_book_cascades(spark, archive):
 def test_create_traces(spark, archive):
     rows = [
         {"id": "n1", "book_id": "b", "page_number": 42, "reason": " why "}, {"id": "n2", "book_id": "b", "page_number": 42, "reason": "else"}, {"id": "n3", "book_id": "b", "page_number": 43, "reason": ""},
-        {"id": "n4", "book_id": "b", "page_number": 301}, {"id": "n5", "book_id": "b", "page_number": 50}, {"id": "n6", "book_id": "b", "page_number": 50}, {"id": "n7", "book_id": "gone", "page_number": 1},
+        {"id": "n4", "book_id": "b", "page_number": 301}, {"id": "n5", "book_id": "b", "page_number": 50}, {"id": "n6", "book_id": "b", "page_number": 50, "reason": ""}, {"id": "n8", "book_id": "b", "page_number": 50, "reason": "x"}, {"id": "n7", "book_id": "gone", "page_number": 1},
     ]
     outcome, events, rejects = run(spark, archive, writes.create_traces, rows, writes.DOG_EARS)
     assert [r.id for r in outcome.rows["dog_ears"].collect()] == ["n5"] and len(events) == 1
-    assert rejects == {"q1": "DOG_EAR_EXISTS", "q3": "VALIDATION_ERROR", "q5": "DOG_EAR_EXISTS", "q6": "NOT_FOUND"}
+    assert rejects == {"q1": "DOG_EAR_EXISTS", "q3": "VALIDATION_ERROR", "q6": "DOG_EAR_EXISTS", "q7": "NOT_FOUND"}
     rows = [{"id": "k1", "book_id": "b", "start_page": 44, "end_page": 42, "content": "x"}, {"id": "k2", "book_id": "b", "start_page": 10, "end_page": 12, "content": "x" * 130}, {"id": "k3", "book_id": "b", "start_page": 1, "end_page": 1, "content": " "}]
     outcome, events, rejects = run(spark, archive, writes.create_traces, rows, writes.ANNOTATIONS)
     assert rejects == {"q0": "VALIDATION_ERROR", "q2": "VALIDATION_ERROR"} and json.loads(events[0][3]) == {"startPage": 10, "endPage": 12, "summary": "x" * 120}
@@ -145,7 +157,7 @@ def test_update_and_delete_traces(spark, archive):
     outcome, events, rejects = run(spark, archive, writes.update_traces, [{"id": "a1", "given": ["end_page"], "end_page": 301}, {"id": "a1", "given": ["content"], "content": "new"}], writes.ANNOTATIONS)
     assert rejects == {"q0": "VALIDATION_ERROR"} and events == [("ANNOTATION", "UPDATED", "a1", '{"startPage":10,"endPage":60}')]
     outcome, events, rejects = run(spark, archive, writes.delete_traces, [{"id": "d1", "version": 2}, {"id": "d1", "version": 1}, {"id": "d1"}, {"id": "d3"}], writes.DOG_EARS)
-    assert rejects == {"q0": "STALE_WRITE", "q2": "STALE_WRITE", "q3": "NOT_FOUND"} and events == [("DOG_EAR", "DELETED", "d1", '{"pageNumber":42}')]
+    assert rejects == {"q0": "STALE_WRITE", "q2": "NOT_FOUND", "q3": "NOT_FOUND"} and events == [("DOG_EAR", "DELETED", "d1", '{"pageNumber":42}')]
 
 
 def test_restore_traces(spark, archive):

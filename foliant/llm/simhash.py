@@ -18,7 +18,7 @@ from itertools import combinations, count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest
@@ -53,7 +53,8 @@ def fingerprint(text: str, width: int = WORDS_PER_SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.fromiter(map(fingerprint, texts(batch.column(1))), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        more = batch.schema.names[2:]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *more])
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -195,15 +196,18 @@ def simhash_links(prints: DataFrame, limit: int = MAX_BITS, route_rows: int = RO
     return dealt.mapInArrow(_link(limit), "u long, v long")
 
 
-def simhash_groups(docs: DataFrame, limit: int = MAX_BITS) -> DataFrame:
+def simhash_groups(docs: DataFrame, limit: int = MAX_BITS, *more: Column) -> DataFrame:
     """Fingerprint and component of every row of ``docs`` (columns ``doc_id``, ``text``; others are ignored).
 
     Returns ``doc_id, fingerprint, component_id``: a row for each input row, repeated rows included.  A null or empty
     text, or one without words, has the zero fingerprint, which links like any other.  ``component_id`` is the smallest
     doc_id reachable over links of at most ``limit`` differing bits; a null doc_id never is one, and a component of
-    rows without ids has a null ``component_id``.  An empty table gives an empty table.
+    rows without ids has a null ``component_id``.  An empty table gives an empty table.  ``more`` are long columns that
+    go with the rows.
     """
-    own = materialise(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+    extra = [c for c in docs.select(*more).columns] if more else []
+    schema = "doc_id long, fp long" + "".join(f", {c} long" for c in extra)
+    own = materialise(docs.select("doc_id", "text", *more).mapInArrow(_fingerprints, schema), "fingerprints")
     prints = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = connected_components(simhash_links(prints.select("fp"), limit))
     linked = prints.join(roots, prints.fp == roots.node).select("fp", "component", "first_id")
@@ -211,16 +215,34 @@ def simhash_groups(docs: DataFrame, limit: int = MAX_BITS) -> DataFrame:
     joined = linked.join(smallest, "component").select("fp", "component_id")
     ids = materialise(prints.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("id")), "ids")
     return own.join(ids, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("id").alias("component_id")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("id").alias("component_id"), *extra
     )
 
 
 def simhash_dedup(docs: DataFrame, limit: int = MAX_BITS) -> DataFrame:
-    """``docs``, with all its columns, less the rows whose component has a smaller doc_id.
+    """``docs``, with all its columns, less the rows whose component holds a row with a smaller doc_id.
 
-    Of rows repeated under one doc_id one stays.  A row without doc_id can't be told from others and stays.
+    One row of each component stays: of those with its smallest doc_id the one with the smallest fingerprint and text.
+    A row without doc_id can't be told from others and stays.
     """
-    groups = simhash_groups(docs, limit)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    groups = simhash_groups(docs.withColumn("text", F.coalesce("text", F.lit(""))), limit, F.xxhash64("text").alias("h"))
+    return one_of_each(docs, groups.select("doc_id", "h", F.col("component_id").alias("part"), F.col("fingerprint").alias("rank")))
+
+
+def one_of_each(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """``docs`` less all rows but one of each part of ``placed``, whose ``doc_id, h`` name rows by id and hash of the text.
+
+    Of rows that are equal in both, one stays.
+    """
+    named = placed.where("doc_id IS NOT NULL")
+    keep = named.groupBy("part").agg(F.min(F.struct("doc_id", "rank", "h")).alias("first"), F.count("*").alias("n"))
+    keep = materialise(keep.select("first.doc_id", "first.h", "n"), "kept-rows")
+    own = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    on = (own["doc_id"] == keep["doc_id"]) & (own["_h"] == keep["h"])
+    stay = own.join(keep, on, "left_semi")
+    again = named.groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")
+    again = materialise(again, "repeated-rows")
+    if not again.isEmpty():
+        double = (stay["doc_id"] == again["doc_id"]) & (stay["_h"] == again["h"])
+        stay = stay.join(again, double, "left_anti").unionByName(stay.join(again, double, "left_semi").dropDuplicates(["doc_id", "_h"]))
+    return stay.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -172,8 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_po
     ids = docs.where(~held_out(F.col("doc_id"))).select("doc_id").distinct()
     others = ids.orderBy(F.xxhash64("doc_id", F.lit("unlabelled")), "doc_id").limit(max_unlabelled)
     sample = confirmed.withColumn("positive", F.lit(True)).union(others.withColumn("positive", F.lit(False)))
-    # At most max_positive + max_unlabelled rows of 9 bytes, whatever the input.
-    some = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("positive", "text")
+    # At most max_positive + max_unlabelled rows of 9 bytes, whatever the input.  Of rows repeated under one doc_id one
+    # stands for all, so that the sample is bounded by rows as well.
+    some = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text")).select("positive", "text")
     some = materialise(some, "toxic-sample", compression="zstd")
 
     def counted(positive: bool, candidates: frozenset[str] | None = None) -> DataFrame:

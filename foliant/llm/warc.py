@@ -93,7 +93,13 @@ def write_warc(pages: DataFrame, path: str, captured: str = CAPTURED, segment_by
     """
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length("html").cast("long").alias("size"))
-    rows = rows.withColumns({"size": F.coalesce("size", F.lit(0).cast("long")), "ordinal": F.monotonically_increasing_id()})
+    rows = rows.withColumn("size", F.coalesce("size", F.lit(0).cast("long")))
+    # Numbers tell rows of one page_id apart. They must stay the same when a plan is run again, so rows are written with
+    # them where there are such rows; else the page_id is enough.
+    if pages.groupBy("page_id").count().where("count > 1").isEmpty():
+        rows = rows.withColumn("ordinal", F.lit(0).cast("long"))
+    else:
+        rows = materialise(rows.withColumn("ordinal", F.monotonically_increasing_id()), "warc-pages", compression="zstd")
     place = F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "ordinal")
     heads = rows.where(F.col("size") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min(place).alias("head"), F.count("*").alias("n"))
     # Written first, so that the planner knows its size and shuffles the payloads only if it is large.

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import corpus_pipeline
 from foliant.llm import near_duplicates as nd
+from foliant.llm.simhash import simhash_dedup
 
 
 def plain_set(text):
@@ -59,3 +60,10 @@ def test_stage_drops_copies_with_a_few_words_changed(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert nd.near_duplicate_dedup(docs).collect() == []
+
+
+def test_rows_repeated_under_one_id_lose_no_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    docs = spark.createDataFrame([(3, a, 1), (5, a, 2), (5, b, 3), (5, b, 4), (7, b, 5)], "doc_id long, text string, part int")
+    for dedup in (nd.near_duplicate_dedup, simhash_dedup):
+        assert sorted((r.doc_id, r.text == a) for r in dedup(docs).collect()) == [(3, True), (5, False)]

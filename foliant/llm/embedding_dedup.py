@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import count, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +27,9 @@ from .runtime import materialise
 THRESHOLD, RECALL, SEED = 0.93, 0.999, 20_240_901
 #: Width of a grid cell in distances at the threshold.
 CELL = 6.0
-#: Other vectors expected in a bucket by chance, over all tables; and the range of projections in a table.
-CHANCE, PROJECTIONS = 4000, (3, 20)
-BLOCK = 2048
+#: Other vectors expected in a bucket by chance, over all tables; and the fewest projections in a table.
+CHANCE, PROJECTIONS = 4000, 3
+BLOCK = 512
 
 
 def _phi(x: float) -> float:
@@ -47,7 +47,7 @@ def layout(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tupl
     near = math.sqrt(max(2 - 2 * threshold, 1e-6))
     width = CELL * near
     p, q = collision(near, width), collision(math.sqrt(2), width)
-    for k in range(PROJECTIONS[0], PROJECTIONS[1] + 1):
+    for k in count(PROJECTIONS):  # q is less than 1, and far less than p
         tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - p**k)))
         if n * tables * q**k <= CHANCE:
             break
@@ -106,7 +106,7 @@ def _compare(threshold: float):
         unit, code = np.concatenate(rows["unit"]), np.concatenate(rows["codes"])[:, :t]
         left = np.flatnonzero(block == i)
         right = left if i == j else np.flatnonzero(block == j)
-        count, edges = np.zeros(len(rep), np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        linked, edges = np.zeros(len(rep), np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for at in range(0, len(left), 512):
             a = left[at : at + 512]
             x, y = np.nonzero(unit[a] @ unit[right].T >= threshold)
@@ -117,11 +117,11 @@ def _compare(threshold: float):
                 u, v = x[part : part + 100_000], y[part : part + 100_000]
                 new = ~(code[u] == code[v]).any(axis=1)
                 u, v = u[new], v[new]
-                np.add.at(count, u, n[v])
-                np.add.at(count, v, n[u])
+                np.add.at(linked, u, n[v])
+                np.add.at(linked, v, n[u])
                 edges = forest(np.concatenate([edges[0], rep[u]]), np.concatenate([edges[1], rep[v]]))
-        some = count > 0
-        return rep[some], count[some], *edges
+        some = linked > 0
+        return rep[some], linked[some], *edges
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found: list[tuple]) -> pa.RecordBatch:

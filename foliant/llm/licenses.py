@@ -1,18 +1,21 @@
 """License scans: winnowed template fingerprints pick candidates, banded alignment measures them.
 
-Templates (notices and license texts) are read as words; hashes of word triples are winnowed (Schleimer et al., 2003)
+Templates (notices, and whole license texts from ``license_texts``) are read as words; hashes of word triples are winnowed (Schleimer et al., 2003)
 and put in an inverted index from triple to template and place.  A document's triples are looked up there; hits near one
 diagonal make a candidate, which is aligned with its template inside a band.  A match reports how much of the template
-it covers and where it stands in the document.
+it covers and where it stands in the document.  Hits that a match explains are taken away and the others tried again, so
+that notices which follow each other are all found.  An SPDX tag is a template of two words, looked up as such.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,12 @@ from .runtime import texts
 #: Words of a fingerprint, and fingerprints of a winnowing window: a run of WIDTH + WINDOW - 1 words is always seen.
 WIDTH, WINDOW = 3, 2
 COVERAGE = 0.8
+#: Templates with more words are candidates only where one in FEW of their fingerprints is hit. Three fingerprints hold a
+#: word, so that a fifth of the words missing leaves more than that.
+LONG, FEW = 50, 16
+#: Band cells from which an alignment goes row by row in numpy.
+CELLS = 4_000
+TAG = "spdx-license-identifier"
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*")
 MATCHED = "doc_id long, license string, template string, matched int, coverage double, start int, end int"
 
@@ -86,6 +95,8 @@ def templates() -> tuple[Template, ...]:
                 words = _words(phrase.format(article + name))
                 out.append(Template(spdx, f"notice-{i}-{j}", words, tuple(k for k in wanted if k & set(words))))
     out += [Template(spdx, "text", _words(text), (frozenset([{"GPL-2.0": "2", "GPL-3.0": "3"}[spdx]]),) if spdx.startswith("GPL") else ()) for spdx, text in TEXTS.items()]
+    whole = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    out += [Template(f.stem, "whole", _words(f.read_text(encoding="utf-8")), ()) for f in whole]
     return tuple(out)
 
 
@@ -108,6 +119,7 @@ class Scanner:
             for at in winnow([int(x) * 0x9E3779B97F4A7C15 % (1 << 64) for x in triples]):
                 index[int(triples[at])].append((number, at))
         self.index = dict(index)
+        self.fingerprints = Counter(number for found in index.values() for number, _ in found)
 
     def _triples(self, ids: np.ndarray) -> np.ndarray:
         """One number for each run of WIDTH known words, -1 where a word is unknown."""
@@ -126,6 +138,8 @@ class Scanner:
         Word places lie within ``band`` of ``diagonal`` + template place; words before and after are free.
         """
         width = 2 * band + 1
+        if width * len(template) > CELLS:
+            return self._align_rows(template, words, diagonal, band)
         score, moves = [0] * width, []
         for i, w in enumerate(template):
             now, step = [0] * width, bytearray(width)
@@ -141,7 +155,11 @@ class Scanner:
                 now[k], step[k] = best, move
             score = now
             moves.append(step)
-        k, i, pairs = max(range(width), key=lambda k: (score[k], -abs(k - band))), len(template) - 1, []
+        return self._path(score, moves, diagonal, band)
+
+    @staticmethod
+    def _path(score, moves, diagonal: int, band: int) -> list[tuple[int, int]]:
+        k, i, pairs = max(range(len(score)), key=lambda k: (score[k], -abs(k - band))), len(moves) - 1, []
         while i >= 0:
             move = moves[i][k]
             if move == 4:
@@ -154,50 +172,90 @@ class Scanner:
             i -= 1
         return pairs[::-1]
 
-    def candidates(self, words: list[str]) -> list[tuple[int, int, int]]:
-        """(template, diagonal, band) for hits near one diagonal."""
+    def _align_rows(self, template: tuple[str, ...], words: list[str], diagonal: int, band: int) -> list[tuple[int, int]]:
+        """As :meth:`align`; surplus words, which depend on their left neighbour, by a running maximum."""
+        width, n = 2 * band + 1, len(template)
+        ids: dict[str, int] = {}
+        own = np.array([ids.setdefault(w, len(ids)) for w in template])
+        low = diagonal - band
+        text = np.full(n + width, -1)
+        for j in range(max(0, low), min(len(words), low + n + width)):
+            text[j - low] = ids.get(words[j], -1)
+        place = np.arange(width)
+        score, moves = np.zeros(width, np.int64), np.zeros((n, width), np.uint8)
+        for i in range(n):
+            same = text[i : i + width] == own[i]
+            best = score + np.where(same, 2, -1)
+            step = np.where(same, 3, 2).astype(np.uint8)
+            missing = np.r_[score[1:] - 1, -(1 << 40)]
+            step[missing > best] = 1
+            best = np.maximum(best, missing)
+            j = low + i + place
+            inside = (j >= 0) & (j < len(words))
+            # Places outside the text lie at the ends of the band: a run of surplus words never crosses one.
+            lifted = np.where(inside | (j < 0), best + place, -(1 << 40))
+            first = int(np.argmax(inside)) if inside.any() else width
+            run = np.maximum.accumulate(lifted[max(first - 1, 0) :]) - place[max(first - 1, 0) :]
+            now = best.copy()
+            now[max(first - 1, 0) :] = np.where(inside[max(first - 1, 0) :], np.maximum(run, best[max(first - 1, 0) :]), best[max(first - 1, 0) :])
+            step[now > best] = 4
+            score, moves[i] = now, step
+        return self._path(score.tolist(), moves, diagonal, band)
+
+    def hits(self, words: list[str]) -> dict[int, list[tuple[int, int]]]:
+        """For each template the (diagonal, word place) of its fingerprints in the text."""
         get = self.ids.get
         triples = self._triples(np.array([get(w, 0) for w in words], np.int64))
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for at in np.flatnonzero(triples >= 0).tolist():
             for number, place in self.index.get(int(triples[at]), ()):
                 hits[number].append((at - place, at))
-        out = []
-        for number, found in hits.items():
-            slack = 4 + len(self.templates[number].words) // 5
-            found.sort()
-            start = 0
-            for i in range(1, len(found) + 1):
-                if i == len(found) or found[i][0] - found[start][0] > slack:
-                    middle = (found[start][0] + found[i - 1][0]) // 2
-                    out.append((number, middle, slack))
-                    start = i
-        return out
+        return hits
 
-    def scan(self, text: str) -> list[tuple[str, str, int, float, int, int]]:
-        """(license, template, matched words, coverage, start, end) of every match, in order of its start."""
-        words = [w.lower() for w in WORD.findall(text)]
-        found = []
-        for number, diagonal, band in self.candidates(words):
-            t = self.templates[number]
-            near = set(words[max(0, diagonal - band) : diagonal + len(t.words) + band])
-            if not all(k & near for k in t.keys):
+    def found(self, number: int, hits: list[tuple[int, int]], words: list[str]) -> Iterator[tuple[int, float, int, int, int]]:
+        """(matched words, coverage, template, first and last word) of every match of a template."""
+        t = self.templates[number]
+        n = len(t.words)
+        slack = 4 + n // 5
+        left = sorted(hits)
+        while left:
+            near = [h for h in left[: bisect_right(left, (left[0][0] + slack, len(words)))]]
+            often = Counter(d for d, _ in near)
+            if n > LONG and FEW * len(near) < self.fingerprints[number]:
+                left = left[len(near) :]
                 continue
-            pairs = self.align(t.words, words, diagonal, band)
+            diagonal = min(often, key=lambda d: (-often[d], d))
+            pairs = []
+            around = set(words[max(0, diagonal - slack) : diagonal + n + slack])
+            if all(k & around for k in t.keys):
+                # A text that follows its template has no more surplus or missing words than the diagonals tell.
+                band = slack if n <= LONG else min(slack, 16 + max(abs(d - diagonal) for d in often))
+                pairs = self.align(t.words, words, diagonal, band)
             covered = {t.words[i] for i, _ in pairs}
-            if len(pairs) >= self.coverage * len(t.words) and all(k & covered for k in t.keys):
-                found.append((len(pairs), len(pairs) / len(t.words), number, pairs[0][1], pairs[-1][1]))
+            if len(pairs) >= self.coverage * n and all(k & covered for k in t.keys):
+                first, last = pairs[0][1], pairs[-1][1]
+                yield len(pairs), len(pairs) / n, number, first, last
+                left = [h for h in left if not first <= h[1] <= last and h[0] != diagonal]
+            elif n > LONG:  # the band takes in all these hits, and another copy lies further away than they reach
+                left = left[len(near) :]
+            else:
+                left = [h for h in left if h[0] != diagonal]
+
+    def scan(self, text: str) -> list[tuple[str, str, int, float, int, int]]:
+        """(license, template, matched words, coverage, start, end) of every match, in order of its start."""
+        matches = list(WORD.finditer(text))
+        raw = [m[0] for m in matches]
+        words = [w.lower() for w in raw]
+        found = [m for number, hits in self.hits(words).items() for m in self.found(number, hits, words)]
         taken: list[tuple] = []
         for m in sorted(found, key=lambda m: (-m[0], -m[1], m[2], m[3])):
             if not any(min(m[4], o[4]) - max(m[3], o[3]) >= 0 for o in taken):
                 taken.append(m)
-        if not taken:
-            return []
-        spans = [m.span() for m in WORD.finditer(text)]
-        return [
-            (self.templates[n].license, self.templates[n].name, count, share, spans[a][0], spans[b][1])
-            for count, share, n, a, b in sorted(taken, key=lambda m: m[3])
-        ]
+        out = [(self.templates[n].license, self.templates[n].name, count, share, matches[a].start(), matches[b].end()) for count, share, n, a, b in taken]
+        if TAG in words:
+            tags = (i for i, w in enumerate(words[:-1]) if w == TAG)
+            out += [(raw[i + 1], "spdx-tag", 2, 1.0, matches[i].start(), matches[i + 1].end()) for i in tags]
+        return sorted(out, key=lambda m: m[4])
 
 
 @lru_cache(1)

@@ -70,3 +70,31 @@ def test_layout_reaches_the_recall():
     for n in (10, 10_000, 10**8):
         width, k, tables = ed.layout(n)
         assert 1 - (1 - ed.collision(np.sqrt(2 - 2 * 0.93), width) ** k) ** tables >= ed.RECALL
+
+
+@pytest.mark.parametrize("n, dim", [(10_000, 16), (10_000, 64), (10**6, 32)])
+def test_recall_of_pairs_just_above_the_threshold(n, dim):
+    """Pairs at cosines from 0.93 to 0.94, hashed as the operator hashes for n vectors: found in some table."""
+    rng = np.random.default_rng(dim)
+    a = rng.standard_normal((3000, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.standard_normal((3000, dim))
+    side -= (side * a).sum(1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.93, 0.94, (3000, 1))
+    b = cosine * a + np.sqrt(1 - cosine**2) * side
+    layout = ed.layout(n)
+    assert (ed.codes(a, *layout) == ed.codes(b, *layout)).any(axis=1).mean() >= 0.99
+
+
+def test_links_found_as_shipped(spark):
+    rows = vectors(seed=5, n=700)
+    got, want = run(spark, rows), brute(rows)
+    assert sum(w[2] for w in want) > 700
+    assert sum(g[2] for g in got) >= 0.99 * sum(w[2] for w in want) and all(g[2] <= w[2] for g, w in zip(got, want, strict=True))
+
+
+def test_chance_mates_stay_bounded_at_every_size():
+    for n in (10**6, 10**9, 10**11):
+        width, k, tables = ed.layout(n)
+        assert n * tables * ed.collision(np.sqrt(2), width) ** k <= ed.CHANCE

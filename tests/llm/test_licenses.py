@@ -68,10 +68,68 @@ def test_altered_texts_and_coverage():
 
 def test_winnowing_sees_every_run():
     scanner = li.scanner()
-    for t in scanner.templates:
-        for i in range(len(t.words) - li.WIDTH - li.WINDOW + 2):
+    for number, t in enumerate(scanner.templates):
+        for i in range(0, len(t.words) - li.WIDTH - li.WINDOW + 2, 1 + len(t.words) // 100):
             run = ["zzz", *t.words[i : i + li.WIDTH + li.WINDOW - 1], "zzz"]
-            assert any(scanner.templates[n] is t for n, _, _ in scanner.candidates(run))
+            assert scanner.hits(run)[number]
+
+
+def test_notices_that_follow_each_other():
+    for notice, spdx in NOTICES.items():
+        for times in (1, 2, 3, 7):
+            assert [f[0] for f in li.scanner().scan(" ".join([notice] * times))] == [spdx] * times
+
+
+def test_whole_texts():
+    rng, scanner = random.Random(2), li.scanner()
+    whole = [t for t in scanner.templates if t.name == "whole"]
+    assert {"MIT", "Apache-2.0", "GPL-3.0", "Zlib", "Unlicense", "BSD-3-Clause"} <= {t.license for t in whole}
+    for t in (t for t in whole if len(t.words) < 600):  # the longest take a second each
+        changed = [w for w in t.words if rng.random() > 0.04]
+        (found,) = [f for f in scanner.scan("before it " + " ".join(changed) + " after it") if f[1] == "whole"]
+        assert found[0] == t.license and found[3] > 0.9
+        half = scanner.scan(" ".join(t.words[: len(t.words) // 2]))
+        assert not any(f[1] == "whole" and f[0] == t.license for f in half)
+
+
+def test_rows_and_cells_agree(monkeypatch):
+    rng, scanner = random.Random(4), li.scanner()
+    for _ in range(60):
+        template = tuple(rng.choices("abcd", k=rng.randrange(1, 30)))
+        words = rng.choices("abcde", k=rng.randrange(1, 40))
+        diagonal, band = rng.randrange(-5, 20), rng.randrange(1, 9)
+        monkeypatch.setattr(li, "CELLS", 10**9)
+        one = scanner.align(template, words, diagonal, band)
+        monkeypatch.setattr(li, "CELLS", 0)
+        assert scanner.align(template, words, diagonal, band) == one
+
+
+def test_scan_finds_all_that_brute_force_finds():
+    """Every template against every stretch of the text, without index, winnowing or bands."""
+    scanner = li.scanner()
+    short = [t for t in scanner.templates if len(t.words) < 20]
+    rng = random.Random(8)
+    for _ in range(6):
+        parts = rng.choices([*NOTICES, "some other words", "the license of", "version 2.0"], k=6)
+        words = li._words(" ".join(parts))
+        want = set()
+        for t in short:
+            for start in range(len(words)):
+                if words[start : start + len(t.words)] == t.words:
+                    want.add((start, t.license))
+        text = " ".join(words)
+        starts = [m.start() for m in li.WORD.finditer(text)]
+        got = {(starts.index(f[4]), f[0]) for f in scanner.scan(text) if f[3] == 1.0}
+        # Of matches that overlap the longest is given; each exact one is given or lies in one that is.
+        spans = [(starts.index(f[4]), starts.index(f[4]) + f[2], f[0]) for f in scanner.scan(text)]
+        assert got <= want and all(any(a <= s < b for a, b, _ in spans) for s, _ in want)
+
+
+def test_spdx_tags():
+    text = "// SPDX-License-Identifier: GPL-2.0-or-later\n# SPDX-License-Identifier: MIT"
+    assert [(f[0], f[1], text[f[4] : f[5]]) for f in li.scanner().scan(text)] == [
+        ("GPL-2.0-or-later", "spdx-tag", "SPDX-License-Identifier: GPL-2.0-or-later"), ("MIT", "spdx-tag", "SPDX-License-Identifier: MIT"),
+    ]
 
 
 def test_operator(spark):

@@ -4,7 +4,9 @@ Equal vectors are first brought down to one representative with a count.  Repres
 into several tables, each by k random projections quantised to a grid (Datar et al., 2004); k grows with the logarithm
 of the number of vectors and the number of tables follows from the recall wanted at the threshold.  Vectors that share
 a bucket are compared exactly, as blocks of dot products in double precision.  A pair counts in the first table where
-it meets, so that a vector's number of links is exact over the pairs found.
+it meets, so that a vector's number of links is exact over the pairs found.  Rows travel without the codes of their
+other tables, whose size would grow with the square of the number of tables: a task hashes again the vectors of the
+links it found, and no others.
 
 A task gives out a number for each vector and a spanning forest of its links, never the pairs.  Buckets with more than
 ``BLOCK`` vectors are divided into blocks, and every pair of blocks becomes a group of its own.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import count, groupby
 
 import numpy as np
@@ -54,13 +57,19 @@ def layout(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tupl
     return width, k, tables
 
 
-def codes(vectors: np.ndarray, width: float, k: int, tables: int) -> np.ndarray:
-    """Bucket of each unit vector in each table."""
-    rng = np.random.default_rng([SEED, vectors.shape[1]])
-    directions = rng.standard_normal((vectors.shape[1], k * tables))
-    cells = np.floor((vectors @ directions) / width + rng.random(k * tables)).astype(np.int64).view(np.uint64)
-    odd = rng.integers(1, 1 << 63, k, dtype=np.uint64) | np.uint64(1)
-    mixed = (cells.reshape(len(vectors), tables, k) * odd).sum(2, dtype=np.uint64)
+@lru_cache(maxsize=2)
+def _projections(dim: int, k: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rng = np.random.default_rng([SEED, dim])
+    return rng.standard_normal((dim, k * tables)), rng.random(k * tables), rng.integers(1, 1 << 63, k, dtype=np.uint64) | np.uint64(1)
+
+
+def codes(vectors: np.ndarray, width: float, k: int, tables: int, first: int | None = None) -> np.ndarray:
+    """Bucket of each unit vector in each table, or in the ``first`` tables."""
+    directions, shifts, odd = _projections(vectors.shape[1], k, tables)
+    first = tables if first is None else first
+    own = directions[:, : k * first]
+    cells = np.floor((vectors @ own) / width + shifts[: k * first]).astype(np.int64).view(np.uint64)
+    mixed = (cells.reshape(len(vectors), first, k) * odd).sum(2, dtype=np.uint64)
     return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int32)
 
 
@@ -86,24 +95,24 @@ def _bucketed(width: float, k: int, tables: int):
                     some = own.slice(start, 2000)
                     found = codes(_unit(some.column(3), dim), width, k, tables)
                     n = len(found)
-                    listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * tables), pa.array(found.ravel()))
                     for t in range(tables):
                         columns = [np.full(n, t, np.int32), found[:, t], np.full(n, dim, np.int32)]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(some.column(i) for i in (0, 1, 2, 3)), listed], names=NAMES)
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(some.column(i) for i in (0, 1, 2, 3))], names=NAMES)
 
     return bucketed
 
 
-NAMES = ["t", "code", "dim", "label", "rep", "n", "vector", "codes"]
+NAMES = ["t", "code", "dim", "label", "rep", "n", "vector"]
 KEY = ["t", "label", "dim", "code", "i", "j"]
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, width: float, k: int, tables: int):
     def links(key: tuple, rows: dict[str, list]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Representatives with the vectors linked to each, and forest edges, of one group."""
-        t, _, dim, _, i, j = key
+        t, _, _, _, i, j = key
         rep, n, block = (np.concatenate(rows[c]) for c in ("rep", "n", "block"))
-        unit, code = np.concatenate(rows["unit"]), np.concatenate(rows["codes"])[:, :t]
+        unit = np.concatenate(rows["unit"])
+        code, known = np.zeros((len(rep), t), np.int32), np.zeros(len(rep), bool)
         left = np.flatnonzero(block == i)
         right = left if i == j else np.flatnonzero(block == j)
         linked, edges = np.zeros(len(rep), np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -113,6 +122,9 @@ def _compare(threshold: float):
             x, y = a[x], right[y]
             once = x < y if i == j else np.ones(len(x), bool)
             x, y = x[once], y[once]
+            own = np.setdiff1d(np.r_[x, y], np.flatnonzero(known))
+            if t and len(own):
+                code[own], known[own] = codes(unit[own], width, k, tables, t), True
             for part in range(0, len(x), 100_000):
                 u, v = x[part : part + 100_000], y[part : part + 100_000]
                 new = ~(code[u] == code[v]).any(axis=1)
@@ -153,14 +165,12 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict[str
     for batch in batches:
         keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in KEY])
         starts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, batch.num_rows]
-        tables = len(batch.column("codes").flatten()) // max(batch.num_rows, 1)
         plain = {c: batch.column(c).to_numpy() for c in ("rep", "n", "block")}
-        code = batch.column("codes").flatten().to_numpy().reshape(-1, tables)
         vectors = batch.column("vector")
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             if a < b:
                 key = tuple(keys[:, a].tolist())
-                piece = {c: x[a:b] for c, x in plain.items()} | {"codes": code[a:b], "unit": _unit(vectors.slice(a, b - a), key[2])}
+                piece = {c: x[a:b] for c, x in plain.items()} | {"unit": _unit(vectors.slice(a, b - a), key[2])}
                 yield key, piece
 
 
@@ -196,13 +206,14 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, recall: f
     reps = linkable.groupBy("label", "h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("vector"))
     reps = materialise(reps, "distinct-vectors")
     most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    schema = "t int, code int, dim int, label long, rep long, n long, vector array<float>, codes array<int>"
+    schema = "t int, code int, dim int, label long, rep long, n long, vector array<float>"
     vector = F.col("vector").cast("array<float>") if "double" not in dict(vectors.dtypes)["embedding"] else F.col("vector")
     if "double" in dict(vectors.dtypes)["embedding"]:
         schema = schema.replace("array<float>", "array<double>")
-    hashed = reps.select("label", "rep", "n", vector.alias("vector")).mapInArrow(_bucketed(*layout(most, threshold, recall)), schema)
+    cells = layout(most, threshold, recall)
+    hashed = reps.select("label", "rep", "n", vector.alias("vector")).mapInArrow(_bucketed(*cells), schema)
     dealt = _in_blocks(hashed, block).repartition(*KEY).sortWithinPartitions(*KEY)
-    found = materialise(dealt.mapInArrow(_compare(threshold), "a long, b long, n long"), "vector-links")
+    found = materialise(dealt.mapInArrow(_compare(threshold, *cells), "a long, b long, n long"), "vector-links")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("other"))
     components = connected_components(found.where("b IS NOT NULL").select("a", "b"))
     placed = reps.join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")

@@ -65,16 +65,32 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def gray_order(route: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Order by route and Gray rank; of prints with several words the first word is the highest."""
+    if prints.ndim == 1:
+        return np.lexsort((gray_rank(prints), route))
+    ranks = [gray_rank(prints[:, 0])]
+    for word in range(1, prints.shape[1]):  # the rank goes on from the last bit of the word before
+        ranks.append(gray_rank(prints[:, word]) ^ -(ranks[-1] & np.uint64(1)))
+    return np.lexsort((*ranks[::-1], route))
+
+
+def ones(x: np.ndarray) -> np.ndarray:
+    """Number of bits set in each fingerprint."""
+    return np.bitwise_count(x) if x.ndim == 1 else np.bitwise_count(x).sum(1, dtype=np.int64)
+
+
 class GrayIndex:
-    """Hierarchical index over distinct fingerprints, each with a route; links are sought within a route.
+    """Hierarchical index over fingerprints (a word, or a row of words), each with a route; links are sought within a route.
 
     ``levels[0]`` holds the fingerprints themselves (all bits in the mask), the last level one node a route.
     """
 
     def __init__(self, route: np.ndarray, prints: np.ndarray):
-        order = np.lexsort((gray_rank(prints), route))
-        self.prints, route = prints[order], route[order]
-        self.levels = [(np.full(len(prints), ~np.uint64(0)), self.prints)]
+        self.order = gray_order(route, prints)
+        self.prints, route = prints[self.order], route[self.order]
+        self.route = route
+        self.levels = [(np.full(prints.shape, ~np.uint64(0)), self.prints)]
         self.children: list[np.ndarray] = []  # of level k + 1: where each node's children start in level k
         while len(route) and (route[1:] == route[:-1]).any():
             starts = np.flatnonzero(np.r_[True, route[1:] != route[:-1]])
@@ -88,9 +104,22 @@ class GrayIndex:
             self.children.append(np.r_[first, len(route)])
             route = route[first]
 
-    def links(self, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions (i < j) of fingerprints of one route that differ in at most ``limit`` bits, in blocks."""
+    def _shared(self, part: np.ndarray) -> list[np.ndarray]:
+        """For each level the part that all fingerprints below a node are in, or -1."""
+        out = [part]
+        for start in self.children:
+            low, high = (f.reduceat(out[-1], start[:-1]) for f in (np.minimum, np.maximum))
+            out.append(np.where(low == high, low, -1))
+        return out
+
+    def links(self, limit: int, part: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions (i < j) of fingerprints of one route that differ in at most ``limit`` bits, in blocks.
+
+        With ``part``, a number for each position, links inside a part are not sought.
+        """
         top = len(self.levels) - 1
+        frontier = FRONTIER // self.prints[:1].size if self.prints.ndim > 1 and len(self.prints) else FRONTIER
+        shared = self._shared(part) if part is not None else None
         nodes = np.arange(len(self.levels[top][0]))
         stack = [(top, nodes, nodes, np.zeros(len(nodes), np.int64))]
         while stack:
@@ -98,7 +127,7 @@ class GrayIndex:
             if level == 0:
                 yield a, b
                 continue
-            if len(a) > FRONTIER // FANOUT**2 and len(a) > 1:
+            if len(a) > frontier // FANOUT**2 and len(a) > 1:
                 half = len(a) // 2
                 stack += [(level, a[:half], b[:half], differ[:half]), (level, a[half:], b[half:], differ[half:])]
                 continue
@@ -108,11 +137,13 @@ class GrayIndex:
             at = np.arange(len(pair)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
             x, y = start[a][pair] + at // nb[pair], start[b][pair] + at % nb[pair]
             once = (x < y) | ((x == y) & (level > 1))
+            if shared is not None:
+                once &= (shared[level - 1][x] != shared[level - 1][y]) | (shared[level - 1][x] < 0)
             x, y, pair = x[once], y[once], pair[once]
             mask, pattern = self.levels[level - 1]
             above = self.levels[level][0]
             new = mask[x] & mask[y] & ~(above[a] & above[b])[pair]  # bits not yet counted further up
-            differ = differ[pair] + np.bitwise_count((pattern[x] ^ pattern[y]) & new)
+            differ = differ[pair] + ones((pattern[x] ^ pattern[y]) & new)
             near = differ <= limit
             stack.append((level - 1, x[near], y[near], differ[near]))
 

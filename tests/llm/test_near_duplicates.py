@@ -2,8 +2,11 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
 from foliant.llm import near_duplicates as nd
+from foliant.llm.components import smallest_reachable
 from foliant.llm.simhash import simhash_dedup
 
 
@@ -67,3 +70,47 @@ def test_rows_repeated_under_one_id_lose_no_text(spark):
     docs = spark.createDataFrame([(3, a, 1), (5, a, 2), (5, b, 3), (5, b, 4), (7, b, 5)], "doc_id long, text string, part int")
     for dedup in (nd.near_duplicate_dedup, simhash_dedup):
         assert sorted((r.doc_id, r.text == a) for r in dedup(docs).collect()) == [(3, True), (5, False)]
+
+
+def test_candidates_come_from_the_gray_index_and_large_groups_in_blocks(spark):
+    """Near copies of one text that are similar by 0.5 to 0.95 are compared in blocks, as by brute force; only the index yields candidates."""
+    rng, rows = random.Random(12), []
+    base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 6, 9])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = plain_components(rows)
+    assert 3 < len(set(want.values())) < 140
+    for block in (8, 40, 512):
+        assert {r.doc_id: r.component_id for r in nd.near_duplicate_groups(docs, block=block).collect()} == want
+    route, prints = np.zeros(len(rows), np.int64), nd.fingerprints([nd.shingles(t) for _, t in rows])
+    node = np.arange(len(rows))
+    for limit in (5, 20, 40, nd.bit_limit(80)):
+        near = {(a, b) for a in range(150) for b in range(150) if np.bitwise_count(prints[a] ^ prints[b]).sum() <= limit}
+        edges = nd.candidate_forest(route, node, prints, limit)
+        assert len(edges[0]) < len(rows)
+        parts = lambda u, v: sorted(map(tuple, np.stack(smallest_reachable(np.array(u, int), np.array(v, int)), axis=1).tolist()))
+        some = [(a, b) for a, b in near if a != b]
+        assert parts(*edges) == parts([a for a, _ in some], [b for _, b in some])
+
+
+def test_fingerprints_are_majorities_and_similar_sets_stay_within_the_limit():
+    rng = random.Random(2)
+    sets = [np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)) for n in (1, 2, 5, 254, 255, 256, 700)]
+    for own, print_ in zip(sets, nd.fingerprints(sets), strict=True):
+        for word in range(nd.WIDTH):
+            hashed = [int(x) for x in nd._mixed((own ^ nd._flips[word]) * nd._factors[word])]
+            assert int(print_[word]) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashed) > len(hashed))
+    missed = met = 0
+    bits, masks = nd.layout(200_000)
+    chosen = nd.route_masks(bits, masks)
+    for _ in range(400):
+        n = rng.randrange(10, 400)
+        every = np.unique(np.array([rng.getrandbits(64) for _ in range(10 * n)], np.uint64))
+        a, b = nd.fingerprints([every[: 9 * n], every[n:]])  # 8 of 10: similarity 0.8
+        missed += np.bitwise_count(a ^ b).sum() > nd.bit_limit(80)
+        met += not ((a ^ b) & chosen).any(axis=1).all()
+    assert not missed and met == 400

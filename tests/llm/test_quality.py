@@ -194,3 +194,19 @@ def test_verdicts_as_brute_force(spark):
             assert got[d].lower == pytest.approx(math.exp(mid - low / math.sqrt(n)), rel=1e-3)
             assert got[d].upper == pytest.approx(math.exp(mid + high / math.sqrt(n)), rel=1e-3)
     assert 0 < sum(r.kept for r in got.values()) < len(rows)
+
+
+def test_verdicts_are_those_of_the_whole_model_whatever_workers_hold(spark):
+    """N-grams that workers don't hold count by their own probabilities, not by back-off."""
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    verdicts = lambda most: sorted((r.asDict() for r in quality.quality_verdicts(docs, most=most).collect()), key=str)
+    whole = verdicts(quality.MAX_GRAMS)
+    for most in (0, 60):
+        model, rest = quality.fit(docs, most)
+        assert len(model.hashes) <= most and not rest.isEmpty()
+        for a, b in zip(whole, verdicts(most), strict=True):
+            assert {k: v for k, v in a.items() if not isinstance(v, float)} == {k: v for k, v in b.items() if not isinstance(v, float)}
+            assert [b[k] for k in ("perplexity", "lower", "upper") if a[k] is not None] == pytest.approx([a[k] for k in ("perplexity", "lower", "upper") if a[k] is not None], rel=1e-4)
+        kept = sorted(map(str, (r.doc_id for r in quality.drop_low_quality(docs, most=most).collect())))
+        assert kept == sorted(str(r["doc_id"]) for r in whole if r["kept"])

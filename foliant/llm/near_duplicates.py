@@ -32,14 +32,18 @@ LEAST = 80
 #: Words of 64 bits in a fingerprint.
 WIDTH = 4
 #: Probability that a pair at the least similarity meets in a route, and fingerprints expected in a route by chance.
-RECALL, CHANCE = 0.9999, 32
+RECALL, CHANCE = 0.9999, 512
 #: Limit in standard deviations above the bits that differ in the mean, and what small sets differ in besides (share of
 #: bits: a bit is a majority, which an even number of shingles may miss).
 DEVIATIONS, SMALL = 4.5, 0.01
+#: Share of bits above the mean for which masks are laid out, as pairs that differ in more bits than most meet less often.
+SPREAD = 0.03
 #: Rows sorted into one index at a time, and shingles fingerprinted at a time: these bound a task's memory.
 CHUNK, SHINGLES = 50_000, 100_000
 #: Documents of a block, and their shingles.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Bits of the filter that tells which texts are needed again; where it gets full, more texts pass, and a join drops them.
+FILTER_BITS = 26
 
 _rng = np.random.default_rng(SEED)
 _flips, _factors = _rng.integers(0, 1 << 64, WIDTH, np.uint64), _rng.integers(0, 1 << 64, WIDTH, np.uint64) | np.uint64(1)
@@ -73,7 +77,7 @@ def bit_limit(least: int) -> int:
 def layout(n: int, least: int = LEAST) -> tuple[int, int]:
     """Bits of a mask, and masks, for n fingerprints."""
     bits = max(8, math.ceil(math.log2(max(n, 1) / CHANCE)))
-    meet = (1 - differing(least) - SMALL) ** bits
+    meet = (1 - differing(least) - SPREAD) ** bits
     return bits, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - meet)))
 
 
@@ -136,12 +140,31 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(c)) for c in prints.T)], names=["doc_id", "h", "node", "n", *PRINT])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            sets = list(map(shingles, texts(batch.column(0).slice(at, 500))))
-            columns = [pa.array(map(_node, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "held"])
+def _filter(ids: DataFrame) -> np.ndarray:
+    """Bits set at the lowest bits of the ids (``id``), as words: at most 2**(FILTER_BITS - 6) rows come to the driver."""
+    at = F.col("id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    bit = F.expr("shiftleft(1L, CAST(at & 63 AS INT))")
+    rows = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _passes(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = ids & ((1 << FILTER_BITS) - 1)
+    return words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1
+
+
+def _sets(words: np.ndarray):
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(1).filter(pa.array(_passes(words, batch.column(0).to_numpy())))
+            for at in range(0, len(text), 500):
+                sets = list(map(shingles, texts(text.slice(at, 500))))
+                columns = [pa.array(map(_node, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "held"])
+
+    return sets_of
 
 
 def _columns(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
@@ -297,7 +320,7 @@ def _compare(least: int, limit: int):
 
 
 def _compared(dealt: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """Links ``(u, v)`` of rows that are dealt to groups and blocks."""
+    """Links ``(u, v)`` of rows that are dealt to groups and blocks.  Sets may be repeated, or of nodes that aren't dealt."""
     rows = dealt.join(sets, "node").select(*GROUP, "block", "node", "part", "n", *PRINT, "held")
     return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(_compare(least, bit_limit(least)), "u long, v long")
 
@@ -345,20 +368,20 @@ def near_duplicate_groups(docs: DataFrame, least: int = LEAST, block: int = BLOC
     returned; an empty table gives an empty one.
     """
     docs = docs.where("doc_id IS NOT NULL")
-    own = F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
-    rows = docs.select("doc_id", "text", own).mapInArrow(_sketch, f"doc_id long, h long, node long, n long, {PRINT_SCHEMA}")
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", "text", own.alias("h")).mapInArrow(_sketch, f"doc_id long, h long, node long, n long, {PRINT_SCHEMA}")
     rows = materialise(rows, "sketches")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n", *PRINT)))
-    nodes = materialise(nodes, "nodes")
+    first = F.min(F.struct("doc_id", "h")).alias("first")
+    nodes = rows.groupBy("node").agg(first, *(F.first(c).alias(c) for c in ("n", *PRINT)))
+    nodes = materialise(nodes.select("node", F.col("first.doc_id").alias("first_id"), F.xxhash64("first.doc_id", "first.h").alias("id"), "n", *PRINT), "nodes")
 
     routed = nodes.select("node", *PRINT).mapInArrow(_routed(*layout(nodes.count(), least)), f"key long, node long, {PRINT_SCHEMA}")
     routed = routed.repartition("key").sortWithinPartitions("key")
     found = materialise(routed.mapInArrow(_candidates(bit_limit(least)), "u long, v long"), "candidates")
     groups = connected_components(found).withColumnRenamed("component", "cc")
     members = materialise(nodes.join(groups, "node"), "members")
-    ids = members.select(F.col("first_id").alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets, "node long, held binary")
-    sets = materialise(sets.join(members.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+    named = docs.select(F.xxhash64("doc_id", own).alias("id"), "text")
+    sets = materialise(named.mapInArrow(_sets(_filter(members)), "node long, held binary"), "shingle-sets")
     members = members.select("cc", "node", "n", *PRINT)
 
     dealt = materialise(_first_blocks(members, block), "first-blocks")

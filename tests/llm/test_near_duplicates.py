@@ -114,3 +114,9 @@ def test_fingerprints_are_majorities_and_similar_sets_stay_within_the_limit():
         missed += np.bitwise_count(a ^ b).sum() > nd.bit_limit(80)
         met += not ((a ^ b) & chosen).any(axis=1).all()
     assert not missed and met == 400
+
+
+def test_the_filter_passes_all_its_ids(spark):
+    ids = [random.Random(5).getrandbits(64) - (1 << 63) for _ in range(500)] + [-1, 0, 63, 1 << 40]
+    words = nd._filter(spark.createDataFrame([(i,) for i in ids], "id long"))
+    assert nd._passes(words, np.array(ids)).all() and nd._passes(words, np.arange(1000, 2000)).sum() < 20

@@ -6,6 +6,7 @@ that the other side lacks becomes an optional group, a repetition on one side a
 slot; texts that agree stay part of the template.  The result is a union-free regular expression, the host's wrapper.
 
 Wrappers are made inside partitions and merged by host in two steps, so that no task gets the pages of a large host.
+They keep every optional group, however few pages show it; the size of a host's wrapper is bounded by its pages alone.
 
 The wrapper says where the article is: from the root down, the group that holds most of the text that fills slots and is
 no link is followed to the last one that holds more than one paragraph or a heading.  A page is aligned with its
@@ -21,6 +22,7 @@ import json
 import re
 import sys
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -33,9 +35,10 @@ from .runtime import materialise, texts
 
 #: Pages that must show a text at one place for it to count as template.
 TEMPLATE_PAGES = 3
-#: A wrapper with more nodes than this gives up optional nodes, the rarest first, that fewer than one page in RARE
-#: shows; beyond RARE times as many nodes it gives up the rarest of all optional ones.
-MAX_NODES, RARE = 1500, 16
+#: A wrapper of which pages need more nodes than this goes once to every PAGES_DEALT pages of its host, and not with each
+#: page.  A partial one with more than RARE times as many nodes goes on to be merged, so that pages are aligned with no
+#: larger ones.
+MAX_NODES, RARE, PAGES_DEALT = 1500, 16, 1000
 #: Hosts whose wrappers a task builds at a time, and salts by which the partial wrappers of a host are merged first.
 HOSTS_HELD, SALTS = 2000, 16
 
@@ -253,48 +256,39 @@ def dumped(nodes: list) -> str:
     return json.dumps(out)
 
 
-def loaded(text: str) -> list:
+class Nodes(list):
+    """Nodes that know the places of each signature once they are asked for one."""
+
+    __slots__ = ("places",)
+
+    def first(self, name: str, at: int) -> int | None:
+        """The first place from ``at`` on of a node with a signature."""
+        if not hasattr(self, "places"):
+            self.places: dict[str, list[int]] = {}
+            for i, n in enumerate(self):
+                self.places.setdefault(n[0], []).append(i)
+        own = self.places.get(name, [])
+        i = bisect_left(own, at)
+        return own[i] if i < len(own) else None
+
+
+def loaded(text: str) -> Nodes:
     count, *rows = json.loads(text)
-    whole: list = []
+    whole = Nodes()
     open_ = [(whole, count)]
     for row in rows:
         while len(open_[-1][0]) == open_[-1][1]:
             open_.pop()
         open_[-1][0].append(row)
         if row[0] != "#":
-            open_.append(([], row[4]))
+            open_.append((Nodes(), row[4]))
             row[4] = open_[-1][0]
     return whole
 
 
-def _pruned(nodes: list, least: int) -> list:
-    """``nodes`` less the optional ones that fewer than ``least`` pages show."""
-    return [n if n[0] == "#" else [*n[:4], _pruned(n[4], least)] for n in nodes if not n[3] or n[1] >= least]
-
-
-def _shares(nodes: list) -> list[int]:
-    """Pages of every optional node, the fewest first."""
-    found, left = set(), [nodes]
-    while left:
-        some = left.pop()
-        found.update(n[1] for n in some if n[3])
-        left += [n[4] for n in some if n[0] != "#" and n[4]]
-    return sorted(found)
-
-
 def combine(a: list, b: list) -> list:
-    """Both wrappers aligned, within the bound on their size: what most pages show stays, with its counts."""
-    out = align(a, b)
-    size = _size(out)
-    if size <= MAX_NODES:
-        return out
-    pages = max(n[1] for n in out)
-    for share in _shares(out):
-        if size <= MAX_NODES or RARE * share >= pages and size <= RARE * MAX_NODES:
-            break
-        out = _pruned(out, share + 1)
-        size = _size(out)
-    return out
+    """Both wrappers aligned; nothing is given up."""
+    return align(a, b)
 
 
 def template_texts(element: Element, wrapper: list) -> set[tuple[int, int]]:
@@ -364,12 +358,13 @@ GROUPS = frozenset("html body main article section div center table tbody tr td"
 def _matched(element: Element, nodes: list) -> Iterator[tuple[int, int]]:
     """Places of kids of an element with those of the nodes that they match, in order."""
     at = 0
+    nodes = nodes if isinstance(nodes, Nodes) else Nodes(nodes)
     for index, kid in enumerate(element.kids):
         plain = isinstance(kid, str)
         if plain and not kid.strip() or not plain and kid.name in VOID:
             continue
         name = "#" if plain else kid.signature()
-        found = next((i for i in range(at, len(nodes)) if nodes[i][0] == name), None)
+        found = nodes.first(name, at)
         if found is not None:
             at = found if nodes[found][2] else found + 1
             yield index, found
@@ -523,7 +518,7 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if name := host(url):
                 own = stream(parse(page))
                 held[name] = combine(held[name], own) if name in held else combine(own, [])
-                if len(held) > HOSTS_HELD:
+                if len(held) > HOSTS_HELD or _size(held[name]) > RARE * MAX_NODES:
                     yield emptied()
     yield emptied()
 
@@ -535,20 +530,35 @@ def _wrapper_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by host and salt."""
-    key, held = None, None
+    """Rows come sorted by host and salt.  Wrappers are merged two by two, so that large ones are aligned a few times only."""
+    key: tuple | None = None
+    held: list[tuple[int, list]] = []
+
+    def put(wrapper: list) -> None:
+        n = 1
+        while held and held[-1][0] <= n:
+            m, other = held.pop()
+            n, wrapper = n + m, combine(other, wrapper)
+        held.append((n, wrapper))
+
+    def merged() -> str:
+        while len(held) > 1:
+            n, wrapper = held.pop()
+            m, other = held.pop()
+            held.append((n + m, combine(other, wrapper)))
+        return dumped(held.pop()[1])
+
     for batch in batches:
         out = []
         for name, salt, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if key != (name, salt):
                 if key is not None:
-                    out.append((*key, dumped(held)))
-                key, held = (name, salt), loaded(wrapper)
-            else:
-                held = combine(held, loaded(wrapper))
+                    out.append((*key, merged()))
+                key = (name, salt)
+            put(loaded(wrapper))
         yield _wrapper_batch(out)
     if key is not None:
-        yield _wrapper_batch([(*key, dumped(held))])
+        yield _wrapper_batch([(*key, merged())])
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
@@ -562,14 +572,16 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 
 def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What pages need of the wrappers of their hosts."""
+    """What pages need of the wrappers of their hosts, and its number of nodes."""
     for batch in batches:
-        out = []
+        out, sizes = [], []
         for text in batch.column(1).to_pylist():
             whole = loaded(text)
             path = main_path(whole)
-            out.append(json.dumps([path, dumped(essential(whole, path))]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["host", "wrapper"])
+            needed = essential(whole, path)
+            out.append(json.dumps([path, dumped(needed)]))
+            sizes.append(_size(needed))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(sizes, pa.int64())], names=["host", "wrapper", "nodes"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -587,6 +599,38 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
 
+def _extract_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of groups of a host's pages, each behind a row with the wrapper (``page`` is false)."""
+    known: tuple = (None, None)
+    for batch in batches:
+        found: list[str] = []
+        for is_page, html_, wrapper in zip(batch.column(4).to_pylist(), texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+            if is_page:
+                found.append(main_text(html_, *known))
+            else:
+                path, whole = json.loads(wrapper)
+                known = loaded(whole), path
+        rows = batch.filter(batch.column(4))
+        columns = [rows.column(0), rows.column(1), pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
+
+
+def _dealt(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """The texts of pages whose host is in ``large`` (``host, wrapper``)."""
+    own = rows.join(large.select("host"), "host")
+    groups = materialise(own.groupBy("host").agg(F.ceil(F.count("*") / PAGES_DEALT).cast("int").alias("groups")), "page-groups")
+    salt = F.pmod(F.xxhash64("page_id", "url", "html"), "groups").cast("int").alias("salt")
+    pages = own.join(groups, "host").select("page_id", "url", "html", F.lit(None).cast("string").alias("wrapper"), F.lit(True).alias("page"), "host", salt)
+    each = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt")
+    none = [F.lit(None).cast(t).alias(c) for c, t in pages.dtypes[:3]]
+    wrappers = large.join(groups, "host").select(*none, "wrapper", F.lit(False).alias("page"), "host", each)
+    both = pages.unionByName(wrappers).repartition("host", "salt").sortWithinPartitions("host", "salt", "page")
+    return both.select("page_id", "url", "html", "wrapper", "page").mapInArrow(_extract_dealt, EXTRACTED)
+
+
+EXTRACTED = "page_id long, url string, text string, n_chars long"
+
+
 def _host_column(url: Column) -> Column:
     def hosts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -596,13 +640,20 @@ def _host_column(url: Column) -> Column:
     return F.arrow_udf(hosts, "string")(url)
 
 
-def extract_main_text(pages: DataFrame) -> DataFrame:
+def extract_main_text(pages: DataFrame, carried: int = MAX_NODES) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages`` (``page_id``, ``url``, ``html``; others are ignored).
 
     A null or empty page, and one without text of its own, has an empty text.  Pages without a host in their url are
     read without a wrapper.  Repeated rows are all returned; an empty table gives an empty one.
     """
-    wrappers = materialise(infer_wrappers(pages).mapInArrow(_finished, "host string, wrapper string"), "wrappers")
+    schema = "host string, wrapper string, nodes long"
+    wrappers = materialise(infer_wrappers(pages).mapInArrow(_finished, schema), "wrappers")
     rows = pages.select("page_id", "url", "html", _host_column(F.col("url")).alias("host"))
-    joined = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper")
-    return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    large = wrappers.where(F.col("nodes") > carried).select("host", "wrapper")
+    none_large = large.isEmpty()
+    if none_large:
+        joined = rows.join(wrappers, "host", "left")
+    else:
+        joined = rows.join(large, "host", "left_anti").join(wrappers.where(F.col("nodes") <= carried), "host", "left")
+    found = joined.select("page_id", "url", "html", "wrapper").mapInArrow(_extract, EXTRACTED)
+    return found if none_large else found.unionByName(_dealt(rows, large))

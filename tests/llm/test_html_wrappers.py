@@ -176,3 +176,21 @@ def test_alignment_matches_every_page_of_the_host():
         for page in pages:
             own = hw.stream(hw.parse(page))
             assert matches([n[0] for n in own], wrapper), (page, wrapper)
+
+
+def test_rare_groups_of_large_hosts_stay_in_the_wrapper(spark):
+    """A notice on four of 400 pages is template; it stands between groups that no other page shows."""
+    slug = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    extra = "<div class='extra'><span>On four pages of all</span></div>"
+    make = lambda i: "<body><div><span>Welcome</span><div>" + "".join(f"<div class='{slug(i)}-{slug(j)}'><b>x</b></div>" for j in range(10)) + f"<p>Text {i} of its own, long enough to count.</p>{extra if i % 100 == 7 else ''}</div></div></body>"
+    wrapper = hw.stream(hw.parse(make(0)))
+    for i in range(1, 400):
+        wrapper = hw.combine(wrapper, hw.stream(hw.parse(make(i))))
+    assert "On four pages" not in hw.main_text(make(7), wrapper)
+    names = {n[0] for n in wrapper[0][4][0][4][1][4]}
+    assert names == {"p", "div extra", *(f"div {slug(i)}-{slug(j)}" for i in range(400) for j in range(10))}
+    rows = [(i, f"http://{'large' if i % 8 else 'small'}.org/{i}", make(i)) for i in range(400)] + [(None, None, make(7)), (5, "http://large.org/5", make(5))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    both = [sorted(map(str, hw.extract_main_text(pages, carried=n).collect())) for n in (0, 1500, 10**9)]
+    assert both[0] == both[1] == both[2] and len(both[0]) == 402
+    assert sum("On four pages" in r for r in both[0]) == 1  # the page without a host
